@@ -94,3 +94,10 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def as_uri(path: str) -> str:
+    """``file:/x`` and plain paths as ``file:///x``; other URIs as they are."""
+    if path.startswith("file:"):
+        return "file:///" + path[5:].lstrip("/")
+    return path if "://" in path else "file://" + os.path.abspath(path)
