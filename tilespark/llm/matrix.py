@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.llm.tokens import word_encoder
-from tilespark.llm.warc import _as_uri
-from tilespark.session import scratch, ship
+from tilespark.session import as_uri, scratch, ship
 
 ROW, BLOCK_TOKENS, SEPARATOR, PAD = 2048, 1 << 20, 49407, 0
 
@@ -201,7 +200,7 @@ def read_matrix(target: str, part: str, row: int = ROW):
 def packed(docs: DataFrame, **options) -> DataFrame:
     """Write the matrices to the shared folder; the segments come back from a committed table."""
     spark = docs.sparkSession
-    target = _as_uri(scratch(spark, "matrix"))
+    target = as_uri(scratch(spark, "matrix"))
     out = write_matrix(docs, target, **options)
     out.write.parquet(f"{target}/_segments")
     return spark.read.schema(out.schema).parquet(f"{target}/_segments")

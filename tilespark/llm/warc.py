@@ -25,7 +25,6 @@ import base64
 import gzip
 import hashlib
 import io
-import os
 import uuid
 import zlib
 from typing import Iterator
@@ -35,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.session import scratch, ship
+from tilespark.session import as_uri, scratch, ship
 
 SHARD_BYTES, ROLL_BYTES = 64 << 20, 24 << 20
 BUCKETS = 2048
@@ -301,13 +300,7 @@ class _Gunzip(io.RawIOBase):
 
 def archive(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages`` to a new archive in the shared folder and read it back."""
-    target = _as_uri(scratch(pages.sparkSession, "warc"))
+    target = as_uri(scratch(pages.sparkSession, "warc"))
     write_warc(pages, target, **options)
     return read_warc(pages.sparkSession, target)
 
-
-def _as_uri(path: str) -> str:
-    """``file:/x`` and plain paths as ``file:///x``; other URIs as they are."""
-    if path.startswith("file:"):
-        return "file://" + "/" + path[5:].lstrip("/")
-    return path if "://" in path else "file://" + os.path.abspath(path)
