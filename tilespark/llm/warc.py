@@ -16,8 +16,8 @@ others are ``revisit`` records that carry no payload, so a payload that a third
 of all pages share is shuffled once.
 
 Edge cases: a null html is an empty payload; null ids sort first and lose to any
-other id; of repeated rows with the largest id one is the response (the first in
-the input); null urls are empty; extra columns are not
+other id; of several rows with the largest id the one with the largest url is the
+response, of equal rows any one; null urls are empty; extra columns are not
 read. An empty table gives an empty archive.
 """
 
@@ -191,50 +191,46 @@ def write_warc(pages: DataFrame, target: str, id_col: str = "page_id", url_col:
     """Write the archive to ``target`` (a URI that all executors reach) and commit its manifest, which is returned."""
     spark = pages.sparkSession
     ship(spark)
-    own = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
+    none = -(1 << 63)  # stands for a null id, below all others
+    keyed = pages.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("p"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
-        F.monotonically_increasing_id().alias("place"),
     )
-    keyed = own.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
-    # the largest id wins; of equal ids the first place
-    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), (-F.col("place")).alias("x"))
-    groups = keyed.groupBy("sha1", "size").agg(F.max(order).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    tied = groups.select(F.col("sha1").alias("g_sha1"), F.col("size").alias("g_size"), F.col("top.p").alias("top_id"), (-F.col("top.x")).alias("top_place"))
+    keyed = keyed.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
     slim = keyed.drop("html")
-    marked = slim.join(tied, (slim.sha1 == tied.g_sha1) & (slim["size"] == tied.g_size), "left")
-    revisit = F.col("top_place").isNotNull() & (F.col("top_place") != F.col("place"))
-    refers = F.when(revisit & (F.col("top_id") != -(1 << 63)), F.col("top_id"))
-    borders = _borders(keyed.select("page_id", F.when(F.lit(True), F.col("size") + 400).alias("size")), shard_bytes)
+    # one row per payload: who keeps it, and the payload once (equal digests and sizes are equal texts)
+    tops = keyed.groupBy("sha1", "size").agg(F.max(F.struct("p", "url")).alias("top"), F.count(F.lit(1)).alias("n"), F.first("html").alias("html"))
+    responses = tops.select(F.col("top.p").alias("p"), F.col("top.url").alias("url"), "sha1", "size", F.lit(True).alias("response"), F.lit(None).cast("long").alias("refers_to"), "html")
+    shared = slim.groupBy("sha1", "size").agg(F.max(F.struct("p", "url")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sha1").alias("g_sha1"), F.col("size").alias("g_size"), "top")
+    same_payload = (F.col("sha1") == F.col("g_sha1")) & (F.col("size") == F.col("g_size"))
+    is_top = (F.col("p") == F.col("top.p")) & (F.col("url") == F.col("top.url"))
+    others = slim.join(shared, same_payload).filter(~is_top)
+    # rows that equal the keeper in all but place: one is the response, the rest revisit it
+    copies = slim.groupBy("p", "url", "sha1", "size").count().filter("count > 1").join(shared, same_payload).filter(is_top)
+    blocks = copies.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count") - 1, F.lit(4096).cast("long"))))
+    again = blocks.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + 4095, F.col("count") - 1))))
+    columns = ["p", "url", "sha1", "size", F.lit(False).alias("response"), F.when(F.col("top.p") != none, F.col("top.p")).alias("refers_to"), F.lit(None).cast("string").alias("html")]
+    rows = responses.unionByName(others.select(*columns)).unionByName(again.select(*columns))
+    borders = _borders(slim.select(F.col("p").alias("page_id"), (F.col("size") + 400).alias("size")), shard_bytes)
     number = spark.sparkContext.broadcast(borders)  # a border for each shard_bytes of pages
 
     @F.pandas_udf("long")
     def shard_of(ids):
         import numpy as np
+        import pandas as pd
 
-        at = np.searchsorted(np.array(number.value, np.int64), ids.fillna(-(1 << 63)).to_numpy(np.int64), side="right")
-        return _series(np.maximum(at, 1) - 1)
+        at = np.searchsorted(np.array(number.value, np.int64), ids.to_numpy(np.int64), side="right")
+        return pd.Series(np.maximum(at, 1) - 1)
 
-    # payloads travel with the responses only; these are found by their place
-    slim_marked = marked.select("page_id", "url", "sha1", "size", "place", (~revisit).alias("response"), refers.alias("refers_to"))
-    revisits = slim_marked.filter("NOT response").withColumn("html", F.lit(None).cast("string"))
-    lone = slim_marked.filter("response").select("place", "response", "refers_to")
-    responses = keyed.join(lone, "place").select("page_id", "url", "sha1", "size", "place", "response", "refers_to", "html")
-    rows = responses.unionByName(revisits.select(*responses.columns)).withColumn("shard", shard_of("page_id"))
+    rows = rows.withColumn("shard", shard_of("p")).withColumn("page_id", F.when(F.col("p") != none, F.col("p")))
     shards = max(1, len(borders))
-    dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", F.desc("response"), "url", "place")
+    dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", F.desc("response"), "url")
     manifest_path = f"{target}/_manifest"
     dealt.mapInArrow(_writer(target, roll_bytes), _MANIFEST).write.parquet(manifest_path)
     return spark.read.schema(_MANIFEST).parquet(manifest_path)
 
 
-def _series(a):
-    import pandas as pd
-
-    return pd.Series(a)
-
-
 def read_warc(spark: SparkSession, target: str) -> DataFrame:
     """Records of a committed archive, read from its files; digests are checked against the payloads."""
     ship(spark)
