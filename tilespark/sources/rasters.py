@@ -101,7 +101,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, RasterMe
 
     own = body.withColumn("p", part).withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("n")) - 1)
     base = F.create_map(*[F.lit(x) for kv in shift.items() for x in kv]) if shift else F.create_map(F.lit(0), F.lit(0))
-    rows = own.select(F.lit(1).alias("band"), (F.element_at(base, F.col("p")) + F.col("k")).cast("long").alias("row"), F.transform(F.split(F.trim("value"), r"\s+"), lambda v: F.when(v.cast("double") != none, v.cast("double"))).alias("values"))
+    rows = own.select(F.lit(1).alias("band"), (F.element_at(base, F.col("p")) + F.col("k")).cast("long").alias("row"), F.transform(F.split(F.trim("value"), r"\s+"), lambda v: F.when(v.try_cast("double") != none, v.try_cast("double"))).alias("values"))
     return explode_rows(rows), RasterMeta(int(h["ncols"]), n_rows, x0, low + n_rows * size, size, size)
 
 
