@@ -13,6 +13,10 @@ from tilespark.functions.grid import Grid
 from tilespark.sources.rasters import RasterMeta
 
 
+#: Tiles or cells up to which one task lists them.
+SPREAD_OVER = 1_000_000
+
+
 def check_zooms(start: int, end: int) -> None:
     if start < end:
         raise ValueError("the start zoom must not be less than the end zoom")
@@ -21,12 +25,19 @@ def check_zooms(start: int, end: int) -> None:
 def ranges(spark: SparkSession, per_zoom: dict[int, tuple[int, int, int, int]]) -> DataFrame:
     """(zoom, x0, y0, x1, y1), a row for each zoom."""
     rows = [(z, *(int(v) for v in r)) for z, r in per_zoom.items()]
-    return spark.createDataFrame(rows, "zoom int, x0 long, y0 long, x1 long, y1 long")
+    out = spark.createDataFrame(rows, "zoom int, x0 long, y0 long, x1 long, y1 long")
+    out._n_keys = sum((x1 - x0 + 1) * (y1 - y0 + 1) for _, x0, y0, x1, y1 in rows)
+    return out
+
+
+def spread(columns: DataFrame, n: int, *by: str) -> DataFrame:
+    """Deal the tile columns over the cluster when they stand for many tiles."""
+    return columns.repartition(*by) if n > SPREAD_OVER else columns
 
 
 def keys(levels: DataFrame) -> DataFrame:
     """All tile keys of the ranges, both ends included."""
-    xs = levels.select("zoom", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("tx"))
+    xs = spread(levels.select("zoom", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("tx")), getattr(levels, "_n_keys", 0), "zoom", "tx")
     return xs.select("zoom", "tx", F.explode(F.sequence("y0", "y1")).alias("ty"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.functions.grid import Grid, reproject
+from tilespark.operators.enumerate import spread
 from tilespark.sources.rasters import RasterMeta
 
 AREA = ("average", "mode", "max", "min", "med", "q1", "q3")
@@ -100,7 +101,8 @@ def point(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], met
         fy = lambda y: int((y + grid.half_y) // p)  # noqa: E731, B023
         levels.append((z, p, fx(minx), fx(maxx), fy(miny), fy(maxy)))
     cells = spark.createDataFrame(levels, "zoom int, p double, x0 long, x1 long, y0 long, y1 long")
-    cells = cells.select("zoom", "p", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("gx")).select("zoom", "p", "gx", F.explode(F.sequence("y0", "y1")).alias("gy"))
+    n = sum((x1 - x0 + 1) * (y1 - y0 + 1) for _, _, x0, x1, y0, y1 in levels)
+    cells = spread(cells.select("zoom", "p", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("gx")), n, "zoom", "gx").select("zoom", "p", "gx", F.explode(F.sequence("y0", "y1")).alias("gy"))
     x, y = F.lit(-grid.half_x) + (F.col("gx") + 0.5) * F.col("p"), F.lit(-grid.half_y) + (F.col("gy") + 0.5) * F.col("p")
     u, v = (x - meta.x0) / meta.dx - 0.5, (meta.y0 - y) / meta.dy - 0.5
     inside = (F.col("u") >= -0.5) & (F.col("u") < meta.n_cols - 0.5) & (F.col("v") >= -0.5) & (F.col("v") < meta.n_rows - 0.5)

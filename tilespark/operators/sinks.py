@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tilespark.functions import bounds as B
 from tilespark.functions import codec
 from tilespark.functions.grid import Grid
-from tilespark.session import ship
+from tilespark.session import open_store, ship
 
 
 def tile_path(zoom: Column, tx: Column, ty: Column, extension: str = "terrain") -> Column:
@@ -90,9 +90,8 @@ def write_files(files: DataFrame, target: str) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-
-        store, base = pafs.FileSystem.from_uri(target)
+        
+        store, base = open_store(target)
         made: set = set()
         for b in batches:
             paths, sizes = b.column(0).to_pylist(), []

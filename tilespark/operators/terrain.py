@@ -27,7 +27,9 @@ def border_members(cells: DataFrame, side: int = 64) -> DataFrame:
     """Each lattice cell with all height tiles it belongs to (at most four): zoom, tx, ty, r, k.
 
     Besides its own tile a cell in the last column is the west border of the next
-    tile, one in the first row the north border of the tile below.
+    tile, one in the first row the north border of the tile below. The lists are
+    never empty; the outer form keeps the optimizer from testing that on every pixel
+    below the aggregate.
     """
     own_x = F.floor(F.col("gx") / side).cast("long")
     own_y = F.floor(F.col("gy") / side).cast("long")
@@ -36,7 +38,7 @@ def border_members(cells: DataFrame, side: int = 64) -> DataFrame:
     xs = F.when(kx == side - 1, F.array(place(own_x, kx + 1), place(own_x + 1, F.lit(0)))).otherwise(F.array(place(own_x, kx + 1)))
     ys = F.when(ky == 0, F.array(place(own_y, side - ky), place(own_y - 1, F.lit(0)))).otherwise(F.array(place(own_y, side - ky)))
     rest = [c for c in cells.columns if c not in ("gx", "gy")]
-    out = cells.select(*rest, xs.alias("xs"), ys.alias("ys")).withColumn("x", F.explode("xs")).withColumn("y", F.explode("ys"))
+    out = cells.select(*rest, xs.alias("xs"), ys.alias("ys")).withColumn("x", F.explode_outer("xs")).withColumn("y", F.explode_outer("ys"))
     return out.select(*rest, F.col("x.t").alias("tx"), F.col("y.t").alias("ty"), F.col("y.i").alias("r"), F.col("x.i").alias("k"))
 
 

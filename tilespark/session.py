@@ -101,3 +101,13 @@ def as_uri(path: str) -> str:
     if path.startswith("file:"):
         return "file:///" + path[5:].lstrip("/")
     return path if "://" in path else "file://" + os.path.abspath(path)
+
+
+def open_store(uri: str):
+    """The Arrow file system of a URI and the path in it, for tasks that write files."""
+    from pyarrow import fs
+
+    for hadoop in ("s3a://", "s3n://"):
+        if uri.startswith(hadoop):
+            uri = "s3://" + uri[len(hadoop) :]
+    return fs.FileSystem.from_uri(uri)
