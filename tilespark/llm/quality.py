@@ -52,7 +52,7 @@ class _Hash:
         words, seen = _TOKEN.findall(text), self.seen
         if len(seen) > 300_000:
             seen.clear()
-        for w in set(words) - seen.keys():
+        for w in {w for w in words if w not in seen}:
             seen[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS
         return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
