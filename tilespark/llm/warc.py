@@ -12,8 +12,8 @@ manifest (a table of file, records, bytes and SHA-256) is written last, and only
 files that it lists count: an archive without its manifest is not committed.
 
 Of pages with equal payloads the one with the largest id is a ``response``; the
-others are ``revisit`` records that carry no payload, so a payload that a third
-of all pages share is shuffled once.
+others are ``revisit`` records that carry no payload. Texts shuffle once, to their
+shard; of the ``HOT`` most shared payloads only the keeper's text does.
 
 Edge cases: a null html is an empty payload; null ids sort first and lose to any
 other id; of several rows with the largest id the one with the largest url is the
@@ -30,14 +30,16 @@ import zlib
 from typing import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.session import as_uri, scratch, ship
+from tilespark.session import as_uri, open_store, scratch, ship
 
 SHARD_BYTES, ROLL_BYTES = 64 << 20, 24 << 20
 BUCKETS = 2048
+#: Most shared payloads whose other pages leave their text before the shuffle.
+HOT = 1000
+NO_ID = -(1 << 63)  # stands for a null id, below all others
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, payload_ok boolean"
@@ -51,26 +53,26 @@ def _http(size: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
 
 
-def record(page_id, url: str, payload: bytes | None, size: int, sha1: str, refers_to, copy: int) -> bytes:
-    """One uncompressed record; ``payload`` None makes it a revisit. ``copy`` tells equal ids apart."""
+def record(page_id: int, url: str, payload: bytes | None, size: int, sha1: str, refers_to: tuple | None, copy: int) -> bytes:
+    """One uncompressed record; without ``payload`` a revisit of ``refers_to`` (id, url). ``copy`` tells equal pages apart."""
     head = _http(size)
     block = head if payload is None else head + payload
-    name = lambda i, c: uuid.uuid5(uuid.NAMESPACE_URL, f"page:{i}:{sha1}:{c}")
+    name = lambda i, u, c: uuid.uuid5(uuid.NAMESPACE_URL, f"page:{i}:{sha1}:{c}:{u}")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if payload is None else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{name(page_id, copy)}>",
+        f"WARC-Record-ID: <urn:uuid:{name(page_id, url, copy)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url.translate(_ONE_LINE)}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{sha1}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
     ]
-    if page_id is not None:
+    if page_id != NO_ID:
         lines.append(f"Page-ID: {page_id}")
     if payload is None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{name(refers_to, 0)}>"]
-        lines += [f"Refers-To-Page-ID: {refers_to}"] if refers_to is not None else []
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{name(*refers_to, 0)}>"]
+        lines += [f"Refers-To-Page-ID: {refers_to[0]}"] if refers_to[0] != NO_ID else []
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -103,7 +105,7 @@ class _Roller:
     """Writes the files of one shard, rolling by compressed size."""
 
     def __init__(self, target: str, shard: int, roll_bytes: int):
-        self.fs, self.base = pafs.FileSystem.from_uri(target)
+        self.fs, self.base = open_store(target)
         self.fs.create_dir(self.base, recursive=True)
         self.shard, self.roll, self.part, self.out = shard, roll_bytes, 0, None
 
@@ -132,22 +134,28 @@ _MANIFEST = "file string, shard long, records long, bytes long, sha256 string"
 
 
 def _writer(target: str, roll_bytes: int):
+    """Rows sorted by shard, id, digest and url, each key's mark (if any) before its pages."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, shard, done, before, copy = None, None, [], None, 0
+        roller, shard, done, key, copy, mark = None, None, [], None, 0, None
         for b in batches:
             for r in b.to_pylist():
+                if (r["p"], r["sha1"], r["url"]) != key:
+                    key, copy, mark = (r["p"], r["sha1"], r["url"]), 0, None
+                if r["mark"]:
+                    mark = (r["top_p"], r["top_url"])
+                    continue
                 if r["shard"] != shard:
                     done += roller.close() if roller else []
                     shard = r["shard"]
                     roller = _Roller(target, shard, roll_bytes)
-                key = (r["page_id"], r["sha1"])
-                copy = copy + 1 if key == before else 0
-                before = key
-                payload = (r["html"] or "").encode("utf-8", "surrogatepass") if r["response"] else None
                 sha1 = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
+                of = mark or ((r["p"], r["url"]) if copy else None)  # equal rows revisit the first of them
+                payload = None if of else r["html"].encode("utf-8", "surrogatepass")
                 if payload is not None and digest(payload) != sha1:
                     raise ValueError("the payload does not match its digest")
-                done += roller.put(record(r["page_id"], r["url"], payload, r["size"], sha1, r["refers_to"], copy))
+                done += roller.put(record(r["p"], r["url"], payload, r["size"], sha1, of, copy))
+                copy += 1
         done += roller.close() if roller else []
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=["file", "shard", "records", "bytes", "sha256"])
@@ -191,27 +199,23 @@ def write_warc(pages: DataFrame, target: str, id_col: str = "page_id", url_col:
     """Write the archive to ``target`` (a URI that all executors reach) and commit its manifest, which is returned."""
     spark = pages.sparkSession
     ship(spark)
-    none = -(1 << 63)  # stands for a null id, below all others
     keyed = pages.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("p"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("p"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
     keyed = keyed.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
     slim = keyed.drop("html")
-    # one row per payload: who keeps it, and the payload once (equal digests and sizes are equal texts)
-    tops = keyed.groupBy("sha1", "size").agg(F.max(F.struct("p", "url")).alias("top"), F.count(F.lit(1)).alias("n"), F.first("html").alias("html"))
-    responses = tops.select(F.col("top.p").alias("p"), F.col("top.url").alias("url"), "sha1", "size", F.lit(True).alias("response"), F.lit(None).cast("long").alias("refers_to"), "html")
-    shared = slim.groupBy("sha1", "size").agg(F.max(F.struct("p", "url")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sha1").alias("g_sha1"), F.col("size").alias("g_size"), "top")
+    groups = slim.groupBy("sha1", "size").agg(F.max(F.struct("p", "url")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = groups.select(F.col("sha1").alias("g_sha1"), F.col("size").alias("g_size"), F.col("top.p").alias("top_p"), F.col("top.url").alias("top_url"), "n")
     same_payload = (F.col("sha1") == F.col("g_sha1")) & (F.col("size") == F.col("g_size"))
-    is_top = (F.col("p") == F.col("top.p")) & (F.col("url") == F.col("top.url"))
-    others = slim.join(shared, same_payload).filter(~is_top)
-    # rows that equal the keeper in all but place: one is the response, the rest revisit it
-    copies = slim.groupBy("p", "url", "sha1", "size").count().filter("count > 1").join(shared, same_payload).filter(is_top)
-    blocks = copies.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count") - 1, F.lit(4096).cast("long"))))
-    again = blocks.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + 4095, F.col("count") - 1))))
-    columns = ["p", "url", "sha1", "size", F.lit(False).alias("response"), F.when(F.col("top.p") != none, F.col("top.p")).alias("refers_to"), F.lit(None).cast("string").alias("html")]
-    rows = responses.unionByName(others.select(*columns)).unionByName(again.select(*columns))
+    is_top = (F.col("p") == F.col("top_p")) & (F.col("url") == F.col("top_url"))
+    # marks tell the writer which rows revisit another; they carry no payload
+    marks = slim.join(shared, same_payload).filter(~is_top).select("p", "url", "sha1", "size", F.lit(None).cast("string").alias("html"), F.lit(True).alias("mark"), "top_p", "top_url")
+    # the most shared payloads leave before the shuffle: at most HOT rows are broadcast
+    hot = F.broadcast(shared.orderBy(F.desc("n"), "g_sha1").limit(HOT).drop("n"))
+    bodies = keyed.join(hot, same_payload, "left").select("p", "url", "sha1", "size", F.when(F.col("g_sha1").isNull() | is_top, F.col("html")).alias("html"), F.lit(False).alias("mark"), F.lit(None).cast("long").alias("top_p"), F.lit(None).cast("string").alias("top_url"))
+    rows = marks.unionByName(bodies)
     borders = _borders(slim.select(F.col("p").alias("page_id"), (F.col("size") + 400).alias("size")), shard_bytes)
     number = spark.sparkContext.broadcast(borders)  # a border for each shard_bytes of pages
 
@@ -223,9 +227,9 @@ def write_warc(pages: DataFrame, target: str, id_col: str = "page_id", url_col:
         at = np.searchsorted(np.array(number.value, np.int64), ids.to_numpy(np.int64), side="right")
         return pd.Series(np.maximum(at, 1) - 1)
 
-    rows = rows.withColumn("shard", shard_of("p")).withColumn("page_id", F.when(F.col("p") != none, F.col("p")))
+    rows = rows.withColumn("shard", shard_of("p"))
     shards = max(1, len(borders))
-    dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", F.desc("response"), "url")
+    dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "p", "sha1", "url", F.desc("mark"))
     manifest_path = f"{target}/_manifest"
     dealt.mapInArrow(_writer(target, roll_bytes), _MANIFEST).write.parquet(manifest_path)
     return spark.read.schema(_MANIFEST).parquet(manifest_path)
@@ -240,7 +244,7 @@ def read_warc(spark: SparkSession, target: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, sha256 in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                store, name = pafs.FileSystem.from_uri(f"{target}/{path}")
+                store, name = open_store(f"{target}/{path}")
                 seen, rows = hashlib.sha256(), []
                 with store.open_input_stream(name, compression=None) as raw:
                     for headers, block in parse(io.BufferedReader(_Gunzip(raw, seen), 1 << 20)):
@@ -259,8 +263,7 @@ def read_warc(spark: SparkSession, target: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, schema)
 
-    # a file after another in a task
-    files = manifest.select("file", "sha256").repartition(F.col("file"))
+    files = manifest.select("file", "sha256").repartition(max(1, manifest.count()), "file")
     return files.mapInArrow(run, _RECORDS)
 
 
