@@ -22,13 +22,12 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.llm.tokens import word_encoder
-from tilespark.session import as_uri, scratch, ship
+from tilespark.session import as_uri, open_store, scratch, ship
 
 ROW, BLOCK_TOKENS, SEPARATOR, PAD = 2048, 1 << 20, 49407, 0
 
@@ -100,7 +99,7 @@ class _Files:
     KINDS = ("ids", "lengths", "resets")
 
     def __init__(self, target: str, part: int):
-        self.fs, base = pafs.FileSystem.from_uri(target)
+        self.fs, base = open_store(target)
         self.fs.create_dir(base, recursive=True)
         self.names = {k: f"{base}/part-{part:06d}.{k}" for k in self.KINDS}
         mark = uuid.uuid4().hex
@@ -179,7 +178,7 @@ def write_matrix(docs: DataFrame, target: str, id_col: str = "doc_id", text_col:
 
 def read_matrix(target: str, part: str, row: int = ROW):
     """(ids as rows, cumulative lengths per row, resets per row) of one part."""
-    store, base = pafs.FileSystem.from_uri(target)
+    store, base = open_store(target)
 
     def load(kind):
         with store.open_input_stream(f"{base}/{part}.{kind}", compression=None) as f:
