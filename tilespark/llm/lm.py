@@ -40,9 +40,9 @@ class _Ids:
 
     def __call__(self, text: str) -> np.ndarray:
         words, seen = ascii_lower(text).split(), self.seen
-        if len(seen) > 300_000:
+        if len(seen) > 100_000:
             seen.clear()
-        for w in set(words) - seen.keys():
+        for w in {w for w in words if w not in seen}:
             seen[w] = zlib.crc32(w) % WORDS
         return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
