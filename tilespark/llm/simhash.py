@@ -250,7 +250,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ship(spark)
     mark = fresh(docs, "_fp")
     fp = per_text(_fingerprints(shingle), "fp long")(F.col(text_col))["fp"]
-    own = materialise(docs.withColumn(mark, fp), "fingerprinted")
+    own = docs.withColumn(mark, fp)  # worked out again for the last join, which is cheaper than storing the texts
     nodes = materialise(own.groupBy(F.col(mark).alias("fp")).agg(F.min(id_col).alias("least")), "nodes")
     roots = materialise(components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp"), "roots")
     tied = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
