@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED = "_tilespark_shipped"
 
 #: Rows and bytes of one Arrow batch: texts may be long, so both are bounded.
-ARROW_ROWS = 1000
-ARROW_BYTES = 32 << 20
+ARROW_ROWS = 500
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
