@@ -1,5 +1,6 @@
 """Shared plumbing of the llm operators."""
 
+import ctypes
 from typing import Iterator
 
 import pyarrow as pa
@@ -8,6 +9,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+def tidy() -> None:
+    """Give freed memory back: a Python worker lives on for the next stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def per_text(make, schema: str, columns: int = 1):
     """An Arrow UDF over texts: ``make()`` runs once per task and returns ``f``.
 
@@ -29,12 +39,14 @@ def per_text(make, schema: str, columns: int = 1):
             f = make()
             for a in it:
                 yield apply(f, (a,))
+            tidy()
     else:
 
         def run(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             f = make()
             for a in it:
                 yield apply(f, a)
+            tidy()
 
     return F.arrow_udf(schema)(run)
 

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.llm.common import tidy
 from tilespark.llm.tokens import word_encoder
 from tilespark.session import as_uri, open_store, scratch, ship
 
@@ -172,6 +173,7 @@ def write_matrix(docs: DataFrame, target: str, id_col: str = "doc_id", text_col:
             if block:
                 yield flush()
             files.commit()
+        tidy()
 
     return own.mapInArrow(run, ddl)
 

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.llm.common import tidy
 from tilespark.llm.tokens import word_encoder
 from tilespark.session import materialise, ship
 
@@ -180,6 +181,7 @@ def pack(
             for w in packer.finish():
                 yield from rows.put(w, final=not w.room)
             yield from rows.take()
+        tidy()
 
     packed = materialise(own.mapInArrow(first, ddl).withColumn("_group", F.when(F.col("sequence_id").isNull(), F.floor(F.spark_partition_id() / merge_partitions)).cast("long")).withColumn("_from", F.when(F.col("sequence_id").isNull(), F.spark_partition_id())), "packed")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import fresh, per_text
+from tilespark.llm.common import fresh, per_text, tidy
 from tilespark.llm.sums import DDL, collect_sum, to_blocks
 from tilespark.session import ship
 
@@ -50,7 +50,7 @@ class _Hash:
 
     def __call__(self, text: str) -> np.ndarray:
         words, seen = _TOKEN.findall(text), self.seen
-        if len(seen) > 300_000:
+        if len(seen) > 100_000:
             seen.clear()
         for w in {w for w in words if w not in seen}:
             seen[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS
@@ -73,6 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     word, near = word[both], near[both]
                     cell = word[:, None] * DIMS + at[near]
                     table += np.bincount(cell.ravel(), sign[near].ravel(), WORDS * DIMS).astype(np.int64)
+    tidy()
     yield from to_blocks(np.concatenate([table.reshape(WORDS, DIMS), own[:, None]], 1).ravel())
 
 

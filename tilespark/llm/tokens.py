@@ -29,7 +29,7 @@ from tilespark.llm.merges import LONGEST, Merges
 from tilespark.session import ship
 
 #: Units kept per task; beyond it the table starts anew, which costs time only.
-UNITS_KEPT = 400_000
+UNITS_KEPT = 300_000
 
 #: Signs that end a word and are pre-tokens of their own after letters.
 _ENDS = frozenset(".,;:!?")
@@ -76,16 +76,21 @@ class _Units:
     def __init__(self, path: str):
         self.tok, self.merges, self.seen, self.pieces = _load(path), Merges(path, _byte_chars()), {}, {}
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        gc.freeze()
-        gc.disable()  # millions of strings, no cycles
 
     def _learn(self, units: set) -> None:
         """Fill ``seen`` for the new units; equal pre-tokens are merged once."""
+        gc.disable()  # hundreds of thousands of small lists, no cycles
+        try:
+            self._learn_all(units)
+        finally:
+            gc.enable()
+
+    def _learn_all(self, units: set) -> None:
         if len(self.pieces) >= UNITS_KEPT:
             self.pieces.clear()
         pieces, pre = self.pieces, self._pre_tokens
         split = [(u, pre(u)) for u in units]
-        new = [p for p in {p for _, q in split if q is not None for p in q} - pieces.keys() if not self._direct(p)]
+        new = [p for p in {p for _, q in split if q is not None for p in q if p not in pieces} if not self._direct(p)]
         data = [p.encode() for p in new]
         if max(map(len, data), default=0) > LONGEST:
             for p, b in zip(new, data):
@@ -173,7 +178,7 @@ class ByteCounter(_Units):
                 plain.append(t)
                 owner.append(i)
         cut = [self._split(t) for t in plain]
-        new = set().union(*(rest for _, rest in cut)) - self.seen.keys()
+        new = {u for u in set().union(*(rest for _, rest in cut)) if u not in self.seen}
         if new:
             if len(self.seen) + len(new) > UNITS_KEPT:
                 new = set().union(*(rest for _, rest in cut))
@@ -221,7 +226,7 @@ class WordEncoder(_Units):
 
     def __call__(self, texts: list) -> list:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*cut) - self.seen.keys()
+        new = {u for u in set().union(*cut) if u not in self.seen}
         if new:
             if len(self.seen) + len(new) > UNITS_KEPT:
                 new = set().union(*cut)
