@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilespark.llm import decontaminate, packing, pii, quality, simhash
+from tilespark.llm import decontaminate, neardup, packing, pii, quality
 from tilespark.session import materialise, table
 
 #: SQL cannot express the trained stages; tests hold the run against brute force.
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id (null ids last)."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word Jaccard 0.8 or more) stays: the one with the smallest id (null ids last)."""
+    return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

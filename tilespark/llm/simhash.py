@@ -252,7 +252,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     fp = per_text(_fingerprints(shingle), "fp long")(F.col(text_col))["fp"]
     own = docs.withColumn(mark, fp)  # worked out again for the last join, which is cheaper than storing the texts
     nodes = materialise(own.groupBy(F.col(mark).alias("fp")).agg(F.min(id_col).alias("least")), "nodes")
-    roots = materialise(components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp"), "roots")
+    return keep_first(docs, own, mark, nodes, links(nodes.select("fp"), radius), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, own: DataFrame, mark: str, nodes: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each component of the links ``found``; ``own`` is ``docs`` with its node ``mark``, ``nodes`` has fp and least id."""
+    roots = materialise(components(found).withColumnRenamed("node", "fp"), "roots")
     tied = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # the fingerprint that holds a group's smallest id, ties by fingerprint
     rank = F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))
