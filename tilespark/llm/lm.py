@@ -1,10 +1,13 @@
 """Cross-entropy difference of two n-gram models (Moore and Lewis, 2010).
 
-Target and background model are matched: one hashed vocabulary, one bigram
-table layout, one interpolation. The background counts all documents, the target
-those that the labels mark as good, all in one pass; counts are summed on the
-cluster. The tables have fixed sizes, so the two models that are broadcast for
-scoring are bounded whatever the size of the corpus.
+Target and background model are matched: one vocabulary, one bigram table, one
+interpolation. The background counts all documents, the target those that the
+labels mark as good. Every different word and pair of words has counts of its own
+(keys are 64-bit hashes), so the tables grow with the corpus and nothing is
+broadcast: documents are taken in chunks, each chunk asks once for each of its
+different keys, the key ranges (``PART_BYTES`` of text each) are summed on the
+cluster, and the answers meet the chunk again. A frequent key comes once per chunk,
+so no task holds its occurrences.
 
 A document's score is the mean over its words of background loss minus target
 loss (nats): higher is closer to the target.
@@ -15,26 +18,36 @@ repeated rows count like any others; an empty target leaves both models equal in
 form, with the target uniform.
 """
 
+import pickle
+import uuid
 import zlib
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tilespark.llm.common import ascii_lower, per_text
-from tilespark.llm.sums import DDL, collect_sum, to_blocks
-from tilespark.session import ship
+from tilespark.llm.common import ascii_lower, tidy
+from tilespark.session import materialise, ship
 
 WORDS, PAIRS = 1 << 16, 1 << 20
 WEIGHTS = (0.6, 0.35, 0.05)  # bigram, unigram, uniform
 #: Target ids that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 _START = WORDS  # before the first word
+#: Words and rows after which a chunk is closed; bytes of text for each key range.
+CHUNK_WORDS, CHUNK_ROWS, PART_BYTES = 1 << 20, 50_000, 32 << 20
+_DDL = "chunk string, part int, data binary"
+_NAMES, _TYPES = ["chunk", "part", "data", "n", "m"], [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
 
 class _Ids:
+    """Hashed ids for :class:`Model`."""
+
     def __init__(self):
         self.seen: dict = {}
 
@@ -54,23 +67,8 @@ def pairs(ids: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One flat table: words and pairs of all documents, then of the target ones."""
-    ids_of, table = _Ids(), np.zeros(2 * (WORDS + PAIRS), np.int64)
-    half = WORDS + PAIRS
-    for b in batches:
-        lists = [ids_of(t or "") for t in b.column(0).to_pylist()]
-        good = b.column(1).to_pylist()
-        for first, own in ((0, lists), (half, [x for x, g in zip(lists, good) if g])):
-            own = [x for x in own if len(x)]
-            if own:
-                table[first : first + WORDS] += np.bincount(np.concatenate(own), minlength=WORDS)
-                table[first + WORDS : first + half] += np.bincount(np.concatenate([pairs(x) for x in own]), minlength=PAIRS)
-    yield from to_blocks(table)
-
-
 class Model:
-    """Interpolated bigram probabilities from one half of the counts."""
+    """The same probabilities on hashed tables in memory, for small texts: the tests compare with it."""
 
     def __init__(self, counts: np.ndarray):
         self.words = counts[:WORDS].astype(np.float32)
@@ -85,32 +83,202 @@ class Model:
         return -np.log(WEIGHTS[0] * pair + WEIGHTS[1] * self.words[ids] / max(self.total, 1) + WEIGHTS[2] / WORDS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id"):
-    """Background and target model."""
-    ship(docs.sparkSession)
-    good = labels.filter(F.col(label_col) == 1).select(F.col(label_id).alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_good", F.lit(True))
-    if good.count() <= BROADCAST_ROWS:
-        good = F.broadcast(good)
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(good, "_id", "left").select("_text", F.coalesce("_good", F.lit(False)).alias("_good"))
-    counts = collect_sum(own.mapInArrow(_count, DDL), 2 * (WORDS + PAIRS))
-    return Model(counts[: WORDS + PAIRS]), Model(counts[WORDS + PAIRS :])
+def _gram_keys(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """64-bit keys of the pairs ``before * len(hashes) + word``."""
+    a, b = hashes[codes // len(hashes)], hashes[codes % len(hashes)]
+    h = (a * np.uint64(0x9E3779B97F4A7C15) + b) ^ np.uint64(0x2545F4914F6CDD1D)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Words, both mean losses and their difference for every document."""
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **options))
+class _Chunk:
+    """Documents whose words are numbered together; keys are those of all its words, then of all its pairs."""
+
+    def __init__(self, idx: np.ndarray, lengths: np.ndarray, hashes: np.ndarray):
+        self.idx, self.lengths = idx, lengths
+        self.first = np.zeros(len(idx), bool)
+        self.first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        self.inner = np.flatnonzero(~self.first)
+        codes, self.pair = np.unique(self.idx[self.inner - 1] * len(hashes) + self.idx[self.inner], return_inverse=True)
+        self.words = len(hashes)
+        self.keys = np.concatenate([hashes, _gram_keys(hashes, codes)])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self, weight=None) -> np.ndarray:
+        """Occurrences of each key; with a weight per word, their sum."""
+        pair = np.bincount(self.pair, None if weight is None else weight[self.inner], len(self.keys) - self.words)
+        return np.concatenate([np.bincount(self.idx, weight, self.words), pair]).astype(np.int64)
+
+    def means(self, counts: np.ndarray, total: int) -> np.ndarray:
+        """Mean loss of each document under the corpus's counts of the keys."""
+        own = counts[self.idx].astype(np.float64)
+        alone = own / max(total, 1)
+        pair = alone.copy()
+        before = counts[self.idx[self.inner - 1]].astype(np.float64)
+        both = counts[self.words + self.pair]
+        pair[self.inner] = np.where(before > 0, both / np.maximum(before, 1), alone[self.inner])
+        loss = -np.log(WEIGHTS[0] * pair + WEIGHTS[1] * alone + WEIGHTS[2] / WORDS)
+        ends = np.concatenate([[0.0], np.cumsum(loss)])
+        at = np.cumsum(self.lengths)
+        return (ends[at] - ends[at - self.lengths]) / np.maximum(self.lengths, 1)
+
+
+def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Number of the key range of each key."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit integers, byte planes apart."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data).view(np.uint64), dtype=np.uint64)
+
+
+def _rows(rows: list, names: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=names)
 
-    def make():
-        ids_of = _Ids()
 
-        def one(text):
-            ids = ids_of(text)
-            if not len(ids):
-                return 0, 0.0, 0.0, 0.0
-            background, target = (float(m.loss(ids).mean()) for m in models.value)
-            return len(ids), target, background, background - target
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, good) rows -> chunks of numbered words (part -1) with their numbers of words and target words."""
+    ids, good, lengths, idx, seen, total = [], [], [], [], {}, 0
 
-        return lambda texts: [list(c) for c in zip(*map(one, texts))] if texts else [[], [], [], []]
+    def done():
+        sizes = np.array(lengths, np.int64)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in seen), np.uint64, len(seen))
+        blob = pickle.dumps((ids, np.array(good, bool), sizes, _pack(np.concatenate(idx)), hashes))
+        return _rows([(uuid.uuid4().hex, -1, blob, total, int(sizes[np.array(good, bool)].sum()))], _NAMES)
 
-    m = per_text(make, "n_words long, target_loss double, background_loss double, score double")(F.col(text_col))
-    return docs.select(F.col(id_col), m.alias("_m")).select(id_col, "_m.*")
+    for b in batches:
+        for i, t, g in zip(*(b.column(x).to_pylist() for x in range(3))):
+            words = ascii_lower(t or "").split()
+            ids.append(i)
+            good.append(g)
+            lengths.append(len(words))
+            idx.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+            total += len(words)
+            if total >= CHUNK_WORDS or len(ids) >= CHUNK_ROWS:
+                yield done()
+                ids, good, lengths, idx, seen, total = [], [], [], [], {}, 0
+    if ids:
+        yield done()
+    tidy()
+
+
+def _ask(parts: int):
+    """Chunks -> their keys and counts in each key range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(*(b.column(x).to_pylist() for x in (0, 2))):
+                _, good, sizes, idx, hashes = pickle.loads(data)
+                c = _Chunk(_unpack(idx), sizes, hashes)
+                keys, every, target = c.keys[c.order], c.counts()[c.order], c.counts(np.repeat(good.astype(float), sizes))[c.order]
+                cut = np.searchsorted(_parts(keys, parts), np.arange(parts + 1, dtype=np.uint64))
+                rows = []
+                for p in np.flatnonzero(np.diff(cut)).tolist():
+                    own = slice(cut[p], cut[p + 1])
+                    rows.append((name, p, pickle.dumps((_pack_keys(keys[own]), _pack(every[own]), _pack(target[own])))))
+                for k in range(0, len(rows), 500):
+                    yield _rows(rows[k : k + 500], _NAMES[:3])
+        tidy()
+
+    return run
+
+
+def _sum_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by part -> for each block the whole corpus's counts of its keys, in the block's order."""
+    part, held = None, []
+
+    def done():
+        keys = np.concatenate([k for _, k, _, _ in held])
+        values, at = np.unique(keys, return_inverse=True)
+        every, target = (np.zeros(len(values), np.int64) for _ in range(2))
+        start = 0
+        for _, k, n, m in held:
+            own = at[start : start + len(k)]
+            start += len(k)
+            np.add.at(every, own, _unpack(n))
+            np.add.at(target, own, _unpack(m))
+        start = 0
+        for name, k, _, _ in held:
+            own = at[start : start + len(k)]
+            start += len(k)
+            yield _rows([(name, part, pickle.dumps((_pack(every[own]), _pack(target[own]))))], _NAMES[:3])
+
+    for b in batches:
+        for name, p, data in zip(*(b.column(x).to_pylist() for x in range(3))):
+            if p != part:
+                if held:
+                    yield from done()
+                part, held = p, []
+            keys, n, m = pickle.loads(data)
+            held.append((name, _unpack_keys(keys), n, m))
+    if held:
+        yield from done()
+    tidy()
+
+
+def _score_chunks(totals: tuple, id_type: pa.DataType, id_col: str):
+    """Rows sorted by (chunk, part), each chunk's documents first -> scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, blob, held = None, None, []
+
+        def done():
+            ids, _, sizes, idx, hashes = pickle.loads(blob)
+            background = target = np.zeros(len(ids))
+            if sizes.sum():
+                c = _Chunk(_unpack(idx), sizes, hashes)
+                found = np.concatenate([[_unpack(x) for x in pickle.loads(h)] for h in held], 1)
+                counts = np.empty_like(found)
+                counts[:, c.order] = found
+                background, target = (np.where(sizes > 0, c.means(n, t), 0.0) for n, t in zip(counts, totals))
+            cols = [pa.array(ids, id_type), pa.array(sizes), pa.array(target), pa.array(background), pa.array(background - target)]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_words", "target_loss", "background_loss", "score"])
+
+        for b in batches:
+            for name, p, data in zip(*(b.column(x).to_pylist() for x in range(3))):
+                if name != chunk:
+                    if chunk is not None:
+                        yield from done()
+                    chunk, blob, held = name, data, []
+                else:
+                    held.append(data)
+        if chunk is not None:
+            yield from done()
+        tidy()
+
+    return run
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id") -> DataFrame:
+    """Words, both mean losses and their difference for every document."""
+    spark = docs.sparkSession
+    ship(spark)
+    good = labels.filter(F.col(label_col) == 1).select(F.col(label_id).alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_good", F.lit(True))
+    if good.count() <= BROADCAST_ROWS:
+        good = F.broadcast(good)
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(good, "_id", "left").select("_id", "_text", F.coalesce("_good", F.lit(False)).alias("_good"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).collect()[0][0] or 0
+    parts = 8 + size // PART_BYTES
+    held = materialise(own.mapInArrow(_chunks, _DDL + ", n long, m long"), "chunks")
+    n, m = held.agg(F.sum("n"), F.sum("m")).collect()[0]
+    chunks = held.select("chunk", "part", "data")
+    asked = chunks.mapInArrow(_ask(parts), _DDL).repartition("part").sortWithinPartitions("part")
+    both = chunks.unionByName(asked.mapInArrow(_sum_part, _DDL))
+    kind = docs.schema[id_col].dataType
+    out = f"`{id_col}` {kind.simpleString()}, n_words long, target_loss double, background_loss double, score double"
+    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_score_chunks((n or 0, m or 0), to_arrow_type(kind), id_col), out)
