@@ -407,7 +407,7 @@ def child_flags_update(spark, d):
 
 @query
 def terrain_export(spark, d):
-    t = _tiles(spark, d).filter("zoom <= 3").select("zoom", "tx", "ty", codec.unpack_heights(F.col("height_bytes")).alias("heights"))
+    t = _tiles(spark, d).select("zoom", "tx", "ty", codec.unpack_heights(F.col("height_bytes")).alias("heights"))
     return terrain.export_cells(t, GEO)
 
 
