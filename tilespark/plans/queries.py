@@ -18,8 +18,6 @@ GEO, MERC = G.global_geodetic(), G.global_mercator()
 QUERIES: dict = {}
 #: Resolutions that are no exact powers, for the zoom query.
 RESOLUTIONS = (100.0, 2.5, 1.3, 0.7, 0.3, 0.0625, 0.01, 0.0008333333333333334, 0.0001)
-#: Zooms at which the point kernels are registered.
-POINT_ZOOMS = [4, 3, 2, 1, 0]
 
 
 def query(f):
@@ -275,7 +273,7 @@ def _area(method):
 def _point(method):
     def f(spark, d):
         p, m = _dem(spark, d)
-        return R.point(p, m, GEO, POINT_ZOOMS, method).select("zoom", "gx", "gy", F.round(F.col("v").cast("double"), 6).alias("v"))
+        return R.point(p, m, GEO, list(range(m.max_zoom(GEO) + 1)), method).select("zoom", "gx", "gy", F.round(F.col("v").cast("double"), 6).alias("v"))
 
     f.__name__ = f"resample_{method}"
     return query(f)
