@@ -55,7 +55,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY zoom, gx, gy ORDER BY n DESC, v)
 
 def point(method):
     p = pitch("zoom")
-    cells = f"""{LEVELS}, pz AS (SELECT zoom, {p} AS p, minx, miny, maxx, maxy FROM zs, meta WHERE zoom <= 4),
+    cells = f"""{LEVELS}, pz AS (SELECT zoom, {p} AS p, minx, miny, maxx, maxy FROM zs, meta),
 px AS (SELECT zoom, p, miny, maxy, unnest(range(CAST(floor((minx + 180.0) / p) AS BIGINT), CAST(floor((maxx + 180.0) / p) AS BIGINT) + 1)) AS gx FROM pz),
 pc AS (SELECT zoom, p, gx, unnest(range(CAST(floor((miny + 90.0) / p) AS BIGINT), CAST(floor((maxy + 90.0) / p) AS BIGINT) + 1)) AS gy FROM px),
 uv AS (SELECT zoom, gx, gy, (-180.0 + (gx + 0.5::DOUBLE) * p + 10.0) / 0.0625 - 0.5 AS u, (45.0 - (-90.0 + (gy + 0.5::DOUBLE) * p)) / 0.0625 - 0.5 AS v FROM pc),
@@ -193,7 +193,7 @@ def oracle(resolutions) -> dict[str, str]:
         "tile_type": f"SELECT id, mask = '01' AS is_water, mask = '00' AS is_land, length(mask) > 2 AS has_mask FROM {FLAGS}",
         "child_flags": "SELECT id, children != 0 AS any_child, " + ", ".join(f"(children & {b}) = {b} AS {k}" for k, b in _BITS.items()) + f" FROM {FLAGS}",
         "child_flags_update": "SELECT id, " + ", ".join(f"CAST(children | {b} AS INTEGER) AS set_{k}, CAST(children & {15 - b} AS INTEGER) AS clear_{k}" for k, b in _BITS.items()) + f", 15::INTEGER AS all_on, 0::INTEGER AS all_off FROM {FLAGS}",
-        "terrain_export": f"WITH {TILES} SELECT zoom, tx, ty, CAST(i // 65 AS INTEGER) AS r, CAST(i % 65 AS INTEGER) AS k, ({_B[0]} - {_TERR_RES}) + (i % 65) * {_TERR_RES} AS x, ({_B[3]} + {_TERR_RES}) - (i // 65) * {_TERR_RES} AS y, CAST(CASE WHEN coalesce(h, 5000) >= 32768 THEN coalesce(h, 5000) - 65536 ELSE coalesce(h, 5000) END AS INTEGER) AS raw_i16, coalesce(h, 5000) / 5.0::DOUBLE - 1000.0 AS elev_m FROM full_cells WHERE zoom <= 3",
+        "terrain_export": f"WITH {TILES} SELECT zoom, tx, ty, CAST(i // 65 AS INTEGER) AS r, CAST(i % 65 AS INTEGER) AS k, ({_B[0]} - {_TERR_RES}) + (i % 65) * {_TERR_RES} AS x, ({_B[3]} + {_TERR_RES}) - (i // 65) * {_TERR_RES} AS y, CAST(CASE WHEN coalesce(h, 5000) >= 32768 THEN coalesce(h, 5000) - 65536 ELSE coalesce(h, 5000) END AS INTEGER) AS raw_i16, coalesce(h, 5000) / 5.0::DOUBLE - 1000.0 AS elev_m FROM full_cells",
         "tile_path": f"WITH {KEYS} SELECT zoom, tx, ty, {PATH} AS path FROM keys",
         "resume_anti_join": f"WITH {KEYS} SELECT zoom, tx, ty, {PATH} AS path FROM keys WHERE (tx + ty) % 2 != 0",
         "extents_feature": f"WITH {KEYS} SELECT zoom, tx, ty, {_FEATURE} AS feature FROM keys",
