@@ -89,7 +89,7 @@ def test_links_lose_nothing_in_large_buckets(spark, bucket_rows):
     center = rng.getrandbits(64)
     f = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(100)})
     ship(spark)
-    got = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(spark.createDataFrame([(simhash._signed(x),) for x in f], "fp long").repartition(3), bucket_rows=bucket_rows).collect()]
+    got = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(spark.createDataFrame([(simhash.signed(x),) for x in f], "fp long").repartition(3), bucket_rows=bucket_rows).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in got)
     want = brute_components(f, f)
     root = {x: x for x in f}

@@ -23,7 +23,8 @@ def per_text(make, schema: str, columns: int = 1):
 
     ``f(texts)`` gets a batch of texts (null becomes empty) and returns one
     list per field of ``schema``. With ``columns > 1`` it gets one list per
-    argument column, where only the first is a text.
+    argument column, where only the first is a text. A function ``f.forget``, if
+    there is one, is called at the end of the task.
     """
     fields = [to_arrow_type(x.dataType) for x in T.StructType.fromDDL(schema)]
     names = T.StructType.fromDDL(schema).names
@@ -33,20 +34,24 @@ def per_text(make, schema: str, columns: int = 1):
         cols = f(first, *(a.to_pylist() for a in args[1:]))
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, fields)], names=names)
 
+    def end(f):
+        getattr(f, "forget", lambda: None)()
+        tidy()
+
     if columns == 1:
 
         def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
             f = make()
             for a in it:
                 yield apply(f, (a,))
-            tidy()
+            end(f)
     else:
 
         def run(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             f = make()
             for a in it:
                 yield apply(f, a)
-            tidy()
+            end(f)
 
     return F.arrow_udf(schema)(run)
 

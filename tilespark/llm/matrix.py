@@ -127,7 +127,8 @@ class _Files:
 def write_matrix(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", encoder=word_encoder, separator: int = SEPARATOR, row: int = ROW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Pack and write ``docs``; the segments (id, start, length, file, row, offset, ids_crc32, ...) are returned.
 
-    Files appear when the result is computed; write it to commit. Ids must fit 16 bits.
+    Files appear when the result is computed; write it to commit. An id over 65535 is an error.
+    ``lengths`` tells padding from ids, as the filler is the id 0.
     """
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -164,7 +165,10 @@ def write_matrix(docs: DataFrame, target: str, id_col: str = "doc_id", text_col:
                 files = _Files(target, part)
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc_id, data in zip(b.column(0).to_pylist(), encode(texts)):
-                ids = np.append(np.frombuffer(data, "<u4"), np.uint32(separator)).astype("<u2")
+                ids = np.append(np.frombuffer(data, "<u4"), np.uint32(separator))
+                if ids.max() > 0xFFFF:
+                    raise ValueError(f"token id {ids.max()} doesn't fit 16 bits")
+                ids = ids.astype("<u2")
                 block.append((doc_id, ids))
                 held += len(ids)
                 if held >= block_tokens:
@@ -173,6 +177,7 @@ def write_matrix(docs: DataFrame, target: str, id_col: str = "doc_id", text_col:
             if block:
                 yield flush()
             files.commit()
+        encode.forget()
         tidy()
 
     return own.mapInArrow(run, ddl)

@@ -1,34 +1,45 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
-
-Candidates come from MinHash bands: ``BANDS`` bands of ``ROWS`` minima each. A pair
-at similarity s shares no band with probability (1 - s**ROWS)**BANDS, which is
-1.3e-7 at 0.8 and less above. Every candidate is verified on the shingles
-themselves, so no link is wrong. Different texts are compared; exact copies are
-grouped before by the hash of the text.
-
-A bucket's members are first tied to its first one, so a bucket of near copies
-becomes one component with as many comparisons as members. Then all pairs of a
-bucket that are still in different components are compared.
+"""Operator 5 at a given similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Nodes are the different texts, by their 64-bit hash. Links are found in three steps, and
+every one is verified on the shingles themselves, so none is wrong:
+
+1. The covering masks of :mod:`simhash` link fingerprints of the shingle sets within
+   ``RADIUS`` bits, as a spanning forest of each bucket: exact in bits, without all pairs.
+2. A radius of 4 bits stands for a similarity of about 0.95; to reach 0.8 it would take
+   about 18 of 64 bits and 2**19 tables. So the fingerprints are followed by MinHash
+   bands: ``BANDS`` bands of ``ROWS`` minima, which a pair at 0.8 misses altogether with
+   probability (1 - 0.8**5)**40 = 1.3e-7. A node is compared with one other, the least node
+   of a bucket with which it shares most buckets.
+3. Nodes in a bucket that still holds several components are open. Their shingles are
+   put in one order, rare ones first (by a table of ``CELLS`` counts; any order gives the
+   same result). Two sets at 0.8 share a shingle in the first fifth of both, at places
+   that leave room for the similarity. Such pairs of different components are compared.
+   So a crowd around one text costs as many rows as members, not as pairs.
 
 Edge cases: null, empty and space-only texts are near copies of each other; texts
-of fewer words than a shingle use all their words as one shingle.
+of fewer words than a shingle use all their words as one shingle; very long texts have
+as many shingles as words, which lie in memory for one text at a time; of repeated rows
+one stays; an empty table gives no rows; columns of any other name pass through.
 """
 
+from typing import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm import simhash
-from tilespark.llm.common import ascii_lower, fresh, per_text
+from tilespark.llm import simhash, sums
+from tilespark.llm.common import fresh, per_text, tidy
 from tilespark.llm.components import components
-from tilespark.session import materialise, ship
+from tilespark.session import discard, materialise, ship
 
-SHINGLE, SEED = 5, 42
+SHINGLE, RADIUS, SEED = 5, 4, 42
 #: Least similarity as a fraction.
 NUM, DEN = 4, 5
 BANDS, ROWS = 40, 5
-SALTS = 16
+CELLS = 1 << 21
 
 _rng = np.random.default_rng(SEED)
 _MUL = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None] | np.uint32(1)
@@ -37,16 +48,7 @@ _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted different hashes of the text's shingles."""
-    words = ascii_lower(text).split()
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(b" ".join(words), SEED)], np.uint64)
-    data = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(lengths)
-    starts = (ends - lengths)[: len(words) - size + 1].tolist()
-    stops = (ends[size - 1 :] - 1).tolist()
-    return np.unique(np.array([digest(data[a:b], SEED) for a, b in zip(starts, stops)], np.uint64))
+    return np.unique(simhash.shingle_hashes(text, size))
 
 
 def bands(hashes: np.ndarray) -> bytes:
@@ -59,19 +61,30 @@ def bands(hashes: np.ndarray) -> bytes:
     return b"".join(xxhash.xxh64_digest(r.tobytes(), k) for k, r in enumerate(rows))
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DEN * both >= NUM * (len(a) + len(b) - both)
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of ``counts``: any set at the least similarity has one of them among its own first."""
+    order = np.lexsort((hashes, counts[(hashes % np.uint64(len(counts))).astype(np.int64)]))
+    n = len(hashes)
+    return hashes[order[: n - -(-n * NUM // DEN) + 1]]
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _signatures():
     def batch(texts):
         sets = [shingles(t) for t in texts]
-        return [[len(s) for s in sets], [np.frombuffer(bands(s), "<i8").tolist() for s in sets]]
+        return [[len(s) for s in sets], [simhash.signed(simhash.majority(s)) for s in sets], [np.frombuffer(bands(s), "<i8") for s in sets]]
 
     return batch
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both)
-
-
 def _verify():
     def batch(left, right):
         return [[similar(shingles(a), shingles(b or "")) for a, b in zip(left, right)]]
@@ -79,43 +92,104 @@ def _verify():
     return batch
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of text hashes that are near copies."""
-    need = materialise(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "needed")
-    own = docs.select(_text_hash(text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    texts = materialise(own.join(need, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")), "compared")
+def _close(n, m):
+    """Sizes that leave room for the least similarity."""
+    return (DEN * F.least(n, m)) >= (NUM * F.greatest(n, m))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are near copies; ``texts`` has k and t, once each."""
     left, right = (texts.select(F.col("k").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
     same = per_text(_verify, "same boolean", 2)(F.col("ta"), F.col("tb"))["same"]
     return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("same")).filter("same").select("a", "b"), "near")
 
 
-def _text_hash(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+def _texts(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The texts of those nodes (column k), each once."""
+    own = docs.select(_text_hash(text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return materialise(own.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")), "texts")
 
 
-def _close(n, m):
-    """Sizes that leave room for the least similarity."""
-    return (DEN * F.least(n, m)) >= (NUM * F.greatest(n, m))
+def _roots(found: DataFrame) -> DataFrame:
+    return materialise(components(found).withColumnRenamed("node", "k"), "node_roots")
+
+
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or linked by the covering masks."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("k").alias("rep")), "fingerprints")
+    found = simhash.links(least.select("fp"), RADIUS)
+    reps = lambda x: least.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}"))
+    far = found.select("a", "b").join(reps("a"), "a").join(reps("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    same = nodes.join(least, "fp").filter("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
+    return materialise(far.unionByName(same), "fingerprint_pairs")
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, k, a) of buckets with two nodes or more; ``a`` is the least node there."""
+    each = nodes.select(F.posexplode("bands").alias("band", "h"), "k").select(F.xxhash64("band", "h").alias("bucket"), "k")
+    several = each.groupBy("bucket").agg(F.min("k").alias("a"), F.max("k").alias("z")).filter("a < z").select("bucket", "a")
+    return materialise(each.join(several, "bucket").select("bucket", "k", "a"), "buckets")
+
+
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = np.zeros(CELLS, np.int64)
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            np.add.at(own, (shingles(t) % np.uint64(CELLS)).astype(np.int64), 1)
+    yield from sums.to_blocks(own)
+    tidy()
+
+
+def _open_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open nodes (k, root, n) of different components that may be near copies."""
+    spark = nodes.sparkSession
+    table = sums.collect_sum(texts.select("t").mapInArrow(_count_shingles, sums.DDL), CELLS)
+    counts = spark.sparkContext.broadcast(np.minimum(table, 65535).astype(np.uint16))  # 2 * CELLS bytes
+
+    def make():
+        return lambda ts: [[prefix(shingles(t), counts.value).view(np.int64) for t in ts]]
+
+    heads = materialise(texts.select("k", per_text(make, "head array<long>")(F.col("t"))["head"].alias("head")).join(nodes, "k"), "heads")
+    each = heads.select(F.posexplode("head").alias("at", "token"), "k", "root", "n")
+    roots = each.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "major")
+    rows = materialise(each.join(roots, "token"), "shared_shingles")
+    minor = rows.filter("root <> major").select("token", *(F.col(c).alias(f"{c}_a") for c in ("k", "root", "n", "at")))
+    all_ = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("k", "root", "n", "at")))
+    room = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    may = (F.col("root_a") != F.col("root_b")) & _close(F.col("n_a"), F.col("n_b")) & ((NUM + DEN) * room >= NUM * (F.col("n_a") + F.col("n_b")))
+    met = minor.join(all_, (minor["token"] == all_["token"]) & may)
+    out = materialise(met.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct(), "open_pairs")
+    discard(heads)
+    discard(rows)
+    counts.unpersist()
+    return out
 
 
 def links(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Verified links (a, b) that join all near copies; ``nodes`` has fp, n (shingles) and bands."""
-    each = nodes.select(F.posexplode("bands").alias("band", "h"), "fp", "n").select(F.xxhash64("band", "h").alias("bucket"), "fp", "n")
-    in_order = Window.partitionBy("bucket").orderBy("fp")
-    seen = each.select("bucket", "fp", "n", F.first("fp").over(in_order).alias("a"), F.first("n").over(in_order).alias("m"))
-    rows = materialise(seen, "buckets")
-    stars = materialise(rows.filter((F.col("a") < F.col("fp")) & _close(F.col("n"), F.col("m"))).select("a", F.col("fp").alias("b")).distinct(), "stars_of_buckets")
-    first = _verified(stars, docs, text_col)
-    root = materialise(components(first).withColumnRenamed("node", "fp"), "bucket_roots")
-    full = rows.filter("a <> fp").select("bucket").distinct()  # buckets of two members or more
-    tied = rows.join(full, "bucket", "left_semi").join(root, "fp", "left").select("bucket", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    """Verified links (a, b) that join all near copies; ``nodes`` has k, n (shingles), fp and bands."""
+    near = _fingerprint_pairs(nodes.select("k", "fp"))
+    rows = _buckets(nodes)
+    sizes = nodes.select("k", "n")
+    shared = rows.filter("k <> a").groupBy("k", "a").count()
+    fits = shared.join(sizes, "k").join(sizes.select(F.col("k").alias("a"), F.col("n").alias("m")), "a").filter(_close(F.col("n"), F.col("m")))
+    best = fits.groupBy("k").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("k").alias("b"))
+    first = materialise(near.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first_pairs")
+    compared = _texts(first.select(F.col("a").alias("k")).union(first.select("b")).distinct(), docs, text_col)
+    found = _verified(first, compared)
+    for t in (near, first, compared):
+        discard(t)
+    root = _roots(found)
+    tied = rows.join(root, "k", "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
     mixed = tied.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    open_rows = materialise(tied.join(mixed, "bucket", "left_semi"), "open_buckets")
-    left = open_rows.select("bucket", F.pmod("fp", F.lit(SALTS)).cast("int").alias("salt"), F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = open_rows.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = left.join(right, ["bucket", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close(F.col("na"), F.col("nb")))
-    rest = materialise(across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "open_pairs")
-    return first.unionByName(_verified(rest, docs, text_col))
+    left = tied.join(mixed, "bucket", "left_semi").groupBy("k").agg(F.first("root").alias("root"))
+    open_ = materialise(left.join(sizes, "k"), "open")
+    discard(rows)
+    texts = _texts(open_.select("k"), docs, text_col)
+    pairs = _open_pairs(open_, texts)
+    more = _verified(pairs, texts)
+    for t in (root, open_, texts, pairs):
+        discard(t)
+    return found.unionByName(more)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,6 +197,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ship(docs.sparkSession)
     mark = fresh(docs, "_fp")
     own = docs.withColumn(mark, _text_hash(text_col))
-    signed = materialise(docs.select(_text_hash(text_col).alias("fp"), F.col(id_col).alias("id"), per_text(_signatures, "n long, bands array<long>")(F.col(text_col)).alias("s")), "signatures")
-    nodes = materialise(signed.groupBy("fp").agg(F.min("id").alias("least"), F.first("s").alias("s")).select("fp", "least", "s.*"), "nodes")
-    return simhash.keep_first(docs, own, mark, nodes.select("fp", "least"), links(nodes, docs, text_col), id_col, text_col)
+    sig = per_text(_signatures, "n long, fp long, bands array<long>")(F.col(text_col))
+    signed = docs.select(_text_hash(text_col).alias("k"), F.col(id_col).alias("id"), sig.alias("s"))
+    nodes = materialise(signed.groupBy("k").agg(F.min("id").alias("least"), F.first("s").alias("s")).select("k", "least", "s.*"), "nodes")
+    return simhash.keep_first(docs, own, mark, nodes.select(F.col("k").alias("fp"), "least"), links(nodes, docs, text_col), id_col, text_col)

@@ -75,7 +75,7 @@ class Packer:
                 yield fullest
                 yield from self.add(doc_id, start + cut, ids[cut * _ID_BYTES :], total)
                 return
-        best.add(doc_id, start, ids, total)
+        best.add(doc_id, start, bytes(ids), total)  # a copy, so the rest of the document isn't held
         if not best.room:
             self.open.remove(best)
             yield best
@@ -181,6 +181,7 @@ def pack(
             for w in packer.finish():
                 yield from rows.put(w, final=not w.room)
             yield from rows.take()
+        encode.forget()
         tidy()
 
     packed = materialise(own.mapInArrow(first, ddl).withColumn("_group", F.when(F.col("sequence_id").isNull(), F.floor(F.spark_partition_id() / merge_partitions)).cast("long")).withColumn("_from", F.when(F.col("sequence_id").isNull(), F.spark_partition_id())), "packed")

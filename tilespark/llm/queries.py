@@ -52,7 +52,7 @@ ORACLE = {
     "op2_decontamination": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
-        bn AS (SELECT item, ws, least(13, len(ws)) AS n FROM b WHERE len(ws) > 0 AND item IS NOT NULL),
+        bn AS (SELECT item, ws, least(13, len(ws)) AS n FROM b WHERE len(ws) > 0),
         bk AS (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM bn),
         bw AS (SELECT DISTINCT item, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM bk),
         dk AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n),

@@ -37,20 +37,22 @@ SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 BUCKET_ROWS = 2048
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """Bit i is set when over half of the shingles' hashes have it set."""
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles in order, repeats included; the empty string's for a text without words."""
     words = ascii_lower(text).split()
-    if not words:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
     data = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths)
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
     stops = (ends[size - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(data[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+    return np.array([digest(data[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set when over half of the hashes have it set."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,11 +60,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """The majority of the shingles' hashes, zero for a text without words."""
+    return majority(shingle_hashes(text, size)) if text.strip(" \t\n\r\x0b\x0c") else 0
+
+
 def _fingerprints(size):
-    return lambda: lambda texts: [[_signed(fingerprint(t, size)) for t in texts]]
+    return lambda: lambda texts: [[signed(fingerprint(t, size)) for t in texts]]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -256,13 +263,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def keep_first(docs: DataFrame, own: DataFrame, mark: str, nodes: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each component of the links ``found``; ``own`` is ``docs`` with its node ``mark``, ``nodes`` has fp and least id."""
+    """One row of each component of the links ``found``; ``own`` is ``docs`` with its node ``mark``, ``nodes`` has fp and least id.
+
+    Rows meet their winner and each other by one key of (node, id), so texts are shuffled once.
+    """
     roots = materialise(components(found).withColumnRenamed("node", "fp"), "roots")
     tied = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # the fingerprint that holds a group's smallest id, ties by fingerprint
     rank = F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))
-    win_fp, win_id = fresh(own, "_win_fp"), fresh(own, "_win_id")
-    winners = tied.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.fp").alias(win_fp), F.col("r.least").alias(win_id))
-    kept = own.join(materialise(winners, "winners"), (F.col(mark) == F.col(win_fp)) & F.col(id_col).eqNullSafe(F.col(win_id)), "left_semi")
-    first = kept.groupBy(mark, id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
-    return first.select(*(F.col("r")[c].alias(c) for c in docs.columns))
+    winners = tied.groupBy("root").agg(F.min(rank).alias("r")).select(F.struct(F.col("r.fp").alias("node"), F.col("r.least").alias("id")).alias("_key"))
+    keyed = own.select(F.struct(F.col(mark).alias("node"), F.col(id_col).alias("id")).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    kept = keyed.join(materialise(winners, "winners"), "_key", "left_semi")
+    first = kept.groupBy("_key").agg(F.min_by("_row", F.coalesce(F.col("_row")[text_col], F.lit(""))).alias("_row"))
+    return first.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
