@@ -48,12 +48,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     start = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = materialise(start, "edges"), None
+    rows = now.count()
     for _ in range(MOST_ROUNDS):
         step = _small_star(_large_star(now)).distinct()
-        new = materialise(step, "stars")
+        new = materialise(step, "stars", 2 * rows)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         discard(now)
-        now = new
+        now, rows = new, state[0]
         if before == tuple(state):
             break
         before = tuple(state)

@@ -8,12 +8,13 @@ every one is verified on the shingles themselves, so none is wrong:
 2. A radius of 4 bits stands for a similarity of about 0.95; to reach 0.8 it would take
    about 18 of 64 bits and 2**19 tables. So the fingerprints are followed by MinHash
    bands: ``BANDS`` bands of ``ROWS`` minima, which a pair at 0.8 misses altogether with
-   probability (1 - 0.8**5)**40 = 1.3e-7. A node is compared with one other, the least node
-   of a bucket with which it shares most buckets.
+   probability (1 - 0.8**5)**40 = 1.3e-7. A node is compared with one other: of the nodes that
+   meet most others in a bucket, the one with which it shares most buckets.
 3. Nodes in a bucket that still holds several components are open. Their shingles are
    put in one order, rare ones first (by a table of ``CELLS`` counts; any order gives the
-   same result). Two sets at 0.8 share a shingle in the first fifth of both, at places
-   that leave room for the similarity. Such pairs of different components are compared.
+   same result). Two sets at 0.8 share a shingle in the first fifth of both, and the first one
+   that they share leaves room for the similarity behind it in both. Such pairs of
+   different components are compared.
    So a crowd around one text costs as many rows as members, not as pairs.
 
 Edge cases: null, empty and space-only texts are near copies of each other; texts
@@ -99,36 +100,40 @@ def _close(n, m):
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are near copies; ``texts`` has k and t, once each."""
+    count = pairs.count()
     left, right = (texts.select(F.col("k").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
     same = per_text(_verify, "same boolean", 2)(F.col("ta"), F.col("tb"))["same"]
-    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("same")).filter("same").select("a", "b"), "near")
+    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("same")).filter("same").select("a", "b"), "near", count, 2_000)
 
 
-def _texts(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The texts of those nodes (column k), each once."""
+def _texts(nodes: DataFrame, docs: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """The texts of those nodes (column k, ``rows`` at most), each once."""
     own = docs.select(_text_hash(text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return materialise(own.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")), "texts")
+    return materialise(own.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")), "texts", rows, 5_000)
 
 
-def _roots(found: DataFrame) -> DataFrame:
-    return materialise(components(found).withColumnRenamed("node", "k"), "node_roots")
+def _roots(found: DataFrame, rows: int) -> DataFrame:
+    return materialise(components(found).withColumnRenamed("node", "k"), "node_roots", rows)
 
 
-def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+def _fingerprint_pairs(nodes: DataFrame, rows: int) -> DataFrame:
     """Pairs (a, b) of nodes whose fingerprints are equal or linked by the covering masks."""
-    least = materialise(nodes.groupBy("fp").agg(F.min("k").alias("rep")), "fingerprints")
+    least = materialise(nodes.groupBy("fp").agg(F.min("k").alias("rep")), "fingerprints", rows)
     found = simhash.links(least.select("fp"), RADIUS)
     reps = lambda x: least.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}"))
     far = found.select("a", "b").join(reps("a"), "a").join(reps("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     same = nodes.join(least, "fp").filter("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
-    return materialise(far.unionByName(same), "fingerprint_pairs")
+    return materialise(far.unionByName(same), "fingerprint_pairs", rows)
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, k, a) of buckets with two nodes or more; ``a`` is the least node there."""
+def _buckets(nodes: DataFrame, rows: int) -> DataFrame:
+    """(bucket, k, a) of buckets with two nodes or more; ``a`` is the node there that meets most others in all its buckets."""
     each = nodes.select(F.posexplode("bands").alias("band", "h"), "k").select(F.xxhash64("band", "h").alias("bucket"), "k")
-    several = each.groupBy("bucket").agg(F.min("k").alias("a"), F.max("k").alias("z")).filter("a < z").select("bucket", "a")
-    return materialise(each.join(several, "bucket").select("bucket", "k", "a"), "buckets")
+    several = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    held = materialise(each.join(several, "bucket"), "buckets", BANDS * rows, 1_000_000)
+    known = held.groupBy("k").agg(F.sum("c").alias("met"))
+    centre = held.join(known, "k").groupBy("bucket").agg(F.max_by("k", F.struct("met", "k")).alias("a"))
+    return materialise(held.select("bucket", "k").join(centre, "bucket"), "centres", BANDS * rows, 1_000_000)
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +145,7 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     tidy()
 
 
-def _open_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _open_pairs(nodes: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
     """Pairs (a, b) of open nodes (k, root, n) of different components that may be near copies."""
     spark = nodes.sparkSession
     table = sums.collect_sum(texts.select("t").mapInArrow(_count_shingles, sums.DDL), CELLS)
@@ -149,43 +154,44 @@ def _open_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     def make():
         return lambda ts: [[prefix(shingles(t), counts.value).view(np.int64) for t in ts]]
 
-    heads = materialise(texts.select("k", per_text(make, "head array<long>")(F.col("t"))["head"].alias("head")).join(nodes, "k"), "heads")
+    heads = materialise(texts.select("k", per_text(make, "head array<long>")(F.col("t"))["head"].alias("head")).join(nodes, "k"), "heads", rows, 5_000)
     each = heads.select(F.posexplode("head").alias("at", "token"), "k", "root", "n")
     roots = each.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "major")
-    rows = materialise(each.join(roots, "token"), "shared_shingles")
-    minor = rows.filter("root <> major").select("token", *(F.col(c).alias(f"{c}_a") for c in ("k", "root", "n", "at")))
-    all_ = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("k", "root", "n", "at")))
-    room = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    shared = materialise(each.join(roots, "token"), "shared_shingles", 20 * rows)
+    minor = shared.filter("root <> major").select("token", *(F.col(c).alias(f"{c}_a") for c in ("k", "root", "n", "at")))
+    all_ = shared.select("token", *(F.col(c).alias(f"{c}_b") for c in ("k", "root", "n", "at")))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # at the first shingle that both have, none before it is shared
     may = (F.col("root_a") != F.col("root_b")) & _close(F.col("n_a"), F.col("n_b")) & ((NUM + DEN) * room >= NUM * (F.col("n_a") + F.col("n_b")))
     met = minor.join(all_, (minor["token"] == all_["token"]) & may)
-    out = materialise(met.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct(), "open_pairs")
+    out = materialise(met.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct(), "open_pairs", rows)
     discard(heads)
-    discard(rows)
+    discard(shared)
     counts.unpersist()
     return out
 
 
 def links(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Verified links (a, b) that join all near copies; ``nodes`` has k, n (shingles), fp and bands."""
-    near = _fingerprint_pairs(nodes.select("k", "fp"))
-    rows = _buckets(nodes)
+    count = nodes.count()
+    near = _fingerprint_pairs(nodes.select("k", "fp"), count)
+    rows = _buckets(nodes, count)
     sizes = nodes.select("k", "n")
     shared = rows.filter("k <> a").groupBy("k", "a").count()
     fits = shared.join(sizes, "k").join(sizes.select(F.col("k").alias("a"), F.col("n").alias("m")), "a").filter(_close(F.col("n"), F.col("m")))
     best = fits.groupBy("k").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("k").alias("b"))
-    first = materialise(near.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first_pairs")
-    compared = _texts(first.select(F.col("a").alias("k")).union(first.select("b")).distinct(), docs, text_col)
+    first = materialise(near.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first_pairs", count)
+    compared = _texts(first.select(F.col("a").alias("k")).union(first.select("b")).distinct(), docs, text_col, count)
     found = _verified(first, compared)
     for t in (near, first, compared):
         discard(t)
-    root = _roots(found)
+    root = _roots(found, count)
     tied = rows.join(root, "k", "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
     mixed = tied.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
     left = tied.join(mixed, "bucket", "left_semi").groupBy("k").agg(F.first("root").alias("root"))
-    open_ = materialise(left.join(sizes, "k"), "open")
+    open_ = materialise(left.join(sizes, "k"), "open", count)
     discard(rows)
-    texts = _texts(open_.select("k"), docs, text_col)
-    pairs = _open_pairs(open_, texts)
+    texts = _texts(open_.select("k"), docs, text_col, count)
+    pairs = _open_pairs(open_, texts, count)
     more = _verified(pairs, texts)
     for t in (root, open_, texts, pairs):
         discard(t)
