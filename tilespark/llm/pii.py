@@ -7,17 +7,21 @@ how reliable each labeler is, and the resulting soft labels train a logistic
 span classifier that decides which candidates are added.
 
 Only pattern counts reach the driver. A pattern is a kind, six votes of three
-values and three small shape classes, so their number is bounded whatever the
-size of the corpus. Texts are read and scanned once; the candidates are written
+values, three small shape classes, three classes of what is inside the span and one
+of 17 classes of the word before it, so their number is bounded whatever the
+size of the corpus. The label model sees the votes alone, the span classifier all of it. Texts are read and scanned once; the candidates are written
 to the shared folder and both later passes read those.
 
-Edge cases: a null text counts as empty; empty texts and tables give no spans;
+Edge cases: a null text counts as empty; empty texts and tables give no spans; very
+long texts take time linear in their length but for sorting their candidates;
 repeated rows and null ids give one output row each; only ``id_col`` and
 ``text_col`` are read, so further columns with any names do no harm.
 """
 
+import bisect
 import hashlib
 import re
+import zlib
 
 import ahocorasick
 import numpy as np
@@ -32,12 +36,23 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = BASE_KINDS + ("secret", "national_id", "person")
 
 #: Gazetteers and context words.
-TOP_LEVEL = frozenset("com org net edu gov info biz io de fr es it uk us eu ch at nl be ca au jp".split())
-COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "61", "81", "82", "86", "90", "91")
+TOP_LEVEL = frozenset(
+    "com org net edu gov mil int info biz name pro io co me tv app dev ai cloud online site shop xyz "
+    "de fr es it uk us eu ch at nl be ca au jp cn in br mx ar cl pe ru ua pl cz sk hu ro bg gr tr se no dk fi ie pt lu li kr tw hk sg nz za il".split()
+)
+COUNTRY_CODES = tuple(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "212 213 216 218 234 254 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 380 381 385 386 387 420 421 423 852 853 886 961 962 963 964 965 966 971 972 974 977 994 995 998".split()
+)
 GIVEN_NAMES = (
     "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew "
     "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emily Anna Maria Laura "
-    "Hans Klaus Jürgen Wolfgang Sabine Petra Pierre Jean Jacques Camille Carlos José Javier Carmen Lucía"
+    "Daniel Matthew Anthony Mark Donald Steven Andrew Paul Joshua Kenneth Kevin Brian George Timothy Ronald Edward Jason Jeffrey Ryan "
+    "Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Frank Raymond Jack Dennis "
+    "Margaret Lisa Betty Sandra Ashley Kimberly Donna Michelle Carol Amanda Dorothy Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen "
+    "Amy Angela Shirley Brenda Emma Pamela Nicole Helen Samantha Katherine Christine Rachel Carolyn Janet Catherine Heather Diane Olivia Julie "
+    "Hans Klaus Jürgen Wolfgang Sabine Petra Peter Stefan Andreas Markus Ursula Monika Renate Birgit Pierre Jean Jacques Camille Michel Philippe "
+    "Nathalie Isabelle Sylvie Chloé Carlos José Javier Carmen Lucía Antonio Manuel Francisco Luis Miguel Pilar Dolores Teresa Alejandro"
 ).split()
 SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key")
 POSITIVE_CONTEXT = {
@@ -59,11 +74,18 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[(0-9][0-9() .-]{8,}")
 _LOCAL_PHONE = re.compile(r"(?<![0-9.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access_key|private_key)\s{0,3}[=:]\s{0,3}([\"'])([^\s\"']{8,256})\1")
-_OBFUSCATED = re.compile(r"(?<![\w.])[\w.+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64} ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,10}(?!\w)")
+_SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access_key|private_key)\s*+[=:]\s*+(?:([\"'])([^\s\"']{8,}+)\1|([^\s\"'<>]{8,}+))")
+#: Beginnings of published key formats, and their forms.
+_KEY_STARTS = ("AKIA", "ghp_", "gho_", "ghs_", "eyJ", "xoxb-", "xoxp-", "sk_live_")
+_KEY = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++|xox[bp]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9_])")
+_AT = re.compile(r"(?i) ?[(\[]at[)\]] ?")
+_AFTER_AT = re.compile(r"(?i)[a-z0-9-]++ ?(?:[(\[]dot[)\]]|\.) ?[a-z]{2,}+(?!\w)")
+_LAST_WORD = re.compile(r"(\w+)\W*\Z")
+#: Classes of the word before a candidate.
+WORD_CLASSES = 16
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NAMES = frozenset(GIVEN_NAMES)
-_SURNAME = re.compile(r" [A-ZÀ-Þ][a-zß-ÿ]{1,30}(?!\w)")
+_SURNAME = re.compile(r" [A-ZÀ-Þ][a-zß-ÿ]++(?!\w)")
 
 
 def _digits(s: str) -> str:
@@ -138,10 +160,23 @@ def _wide(text: str, low: str, bad: dict, names):
         yield "phone", s, e
     if any(w in low for w in SECRET_WORDS):
         for m in _SECRET.finditer(text):
-            yield "secret", m.start(2), m.end(2)
+            s, e = m.span(2) if m.group(1) else m.span(3)
+            while not m.group(1) and e > s and text[e - 1] in ".,;:!?)]}":
+                e -= 1
+            if e - s >= 8:
+                yield "secret", s, e
+    if any(k in text for k in _KEY_STARTS):
+        for m in _KEY.finditer(text):
+            yield "secret", *m.span()
     if "(at)" in low or "[at]" in low:
-        for m in _OBFUSCATED.finditer(text):
-            yield "email", *m.span()
+        done = 0
+        for m in _AT.finditer(text):
+            start = m.start()
+            while start > done and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            if start < m.start() and (rest := _AFTER_AT.match(text, m.end())):
+                yield "email", start, rest.end()
+            done = m.end()
     for run in _NUMBER.finditer(text):
         before, after = text[run.start() - 1 : run.start()], text[run.end() : run.end() + 1]
         for kind, pattern in (("national_id", _NATIONAL), ("phone", _LOCAL_PHONE)):
@@ -169,7 +204,8 @@ def _share(s: str) -> float:
 def votes(kind: str, text: str, low: str, s: int, e: int, strict: bool) -> str:
     """Six votes, each ``+`` (personal), ``-`` (not) or ``0`` (abstains)."""
     v, d = text[s:e], _digits(text[s:e])
-    regex = "+" if strict or kind in ("secret", "national_id") else "0"
+    quoted = text[s - 1 : s] in ("'", '"') and text[s - 1 : s] == text[e : e + 1]
+    regex = "+" if strict or kind == "national_id" or kind == "secret" and (quoted or v.startswith(_KEY_STARTS)) else "0"
     if kind == "card":
         valid = "+" if luhn(d) else "-"
         gazetteer = "+" if d[0] in "3456" and luhn(d) else "-" if d[0] not in "23456" else "0"
@@ -183,7 +219,7 @@ def votes(kind: str, text: str, low: str, s: int, e: int, strict: bool) -> str:
         valid = "+" if v.count("@") == 1 and not v.startswith(".") else "0"
         gazetteer = "+" if re.split(r"[. )\]]", v.lower())[-1] in TOP_LEVEL else "0"
     elif kind == "secret":
-        valid = "+" if len(v) >= 16 and d and len(d) < len(v) else "0" if len(v) >= 12 else "-"
+        valid = "+" if len(v) >= 16 and d and len(d) < len(v) else "0" if len(v) >= 12 and (d or quoted) else "-"
         gazetteer = "-" if v.lower() in ("password", "changeme", "example", "undefined") else "0"
     elif kind == "national_id":
         valid = "-" if v.startswith(("000", "666", "9")) or v[4:6] == "00" or v.endswith("0000") else "+"
@@ -194,7 +230,7 @@ def votes(kind: str, text: str, low: str, s: int, e: int, strict: bool) -> str:
     near = low[max(0, s - 40) : s]
     context = "+" if any(w in near for w in POSITIVE_CONTEXT[kind]) else "0"
     against = "-" if any(w in near for w in NEGATIVE_CONTEXT) else "0"
-    shape = "-" if d and len(d) >= 7 and len(set(d)) <= 2 else "+" if kind == "secret" and _share(v) >= 0.5 else "0"
+    shape = "-" if d and len(d) >= 7 and len(set(d)) <= 2 else "+" if kind == "secret" and d and _share(v) >= 0.5 else "0"
     return regex + valid + gazetteer + context + against + shape
 
 
@@ -202,10 +238,40 @@ def _edge(c: str) -> str:
     return "_" if not c or c.isspace() else "w" if c.isalnum() else "p"
 
 
+def fold(text: str) -> str:
+    """Lower case with the same positions: a character that grows when lowered stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def pattern_key(kind, text, low, s, e, strict) -> str:
-    """The candidate's features in one bounded string."""
+    """The candidate's features in one string with a bounded number of values.
+
+    Kind, votes, edges and length; share of digits (4 classes), mixed case, variety of
+    characters; the word before, hashed to 16 classes.
+    """
     size = "s" if e - s < 12 else "m" if e - s < 24 else "l"
-    return f"{kind}|{votes(kind, text, low, s, e, strict)}|{_edge(text[s - 1 : s])}{_edge(text[e : e + 1])}{size}"
+    v = text[s:e]
+    digits = 4 * len(_digits(v)) // (len(v) + 1)
+    mixed = "x" if v.upper() != v != v.lower() else "-"
+    before = _LAST_WORD.search(low, max(0, s - 24), s)
+    word = zlib.crc32(before.group(1).encode("utf-8", "surrogatepass")) % WORD_CLASSES if before else WORD_CLASSES
+    return f"{kind}|{votes(kind, text, low, s, e, strict)}|{_edge(text[s - 1 : s])}{_edge(text[e : e + 1])}{size}|{digits}{mixed}{'v' if _share(v) >= 0.5 else '-'}|{word}"
+
+
+class _Taken:
+    """Whether a span meets any of the spans given, in logarithmic time."""
+
+    def __init__(self, spans: list):
+        spans = sorted(spans)
+        self.starts, self.ends, end = [s for s, _ in spans], [], 0
+        for _, e in spans:
+            end = max(end, e)
+            self.ends.append(end)
+
+    def __call__(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e)
+        return k > 0 and self.ends[k - 1] > s
 
 
 def _extract():
@@ -213,11 +279,10 @@ def _extract():
 
     def one(text):
         base, bad = base_spans(text)
-        low = text.lower()
-        low = low if len(low) == len(text) else text  # positions must agree
+        low = fold(text)
         found = [(k, s, e, pattern_key(k, text, low, s, e, True)) for k in BASE_KINDS for s, e in base[k]]
-        taken = [(s, e) for _, s, e, _ in found]
-        wide = [(k, s, e, pattern_key(k, text, low, s, e, False)) for k, s, e in _wide(text, low, bad, names) if not any(s < b and a < e for a, b in taken)]
+        taken = _Taken([(s, e) for _, s, e, _ in found])
+        wide = [(k, s, e, pattern_key(k, text, low, s, e, False)) for k, s, e in _wide(text, low, bad, names) if not taken(s, e)]
         return [len(base[k]) for k in BASE_KINDS], found, wide
 
     def batch(texts):
@@ -236,42 +301,53 @@ def _extract():
 _EXTRACTED = "n_email long, n_ip long, n_card long, n_phone long, base string, base_patterns array<string>, wide array<struct<kind:string,start:long,stop:long,pattern:string>>"
 
 
-def fit_label_model(patterns: list, rounds: int = 100) -> dict:
-    """EM (two classes, three outcomes per labeler, per kind).
+def expectation_maximisation(x: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple:
+    """P(personal) of each vote pattern and P(outcome | class) as (class, labeler, outcome).
 
-    ``patterns``: (vote pattern key, count). Returns P(personal | votes) by key.
+    ``x``: outcomes (0 for, 1 against, 2 abstains) by pattern and labeler; ``n``: counts.
     Reliabilities carry Dirichlet counts (2 % of all candidates, 1 at least) that
     say labelers are more often right than wrong, so rare kinds stay identified.
     The classes stay balanced, so the many strict matches don't vouch for doubtful ones.
     """
+    hot = np.eye(3)[x]  # pattern, labeler, outcome
+    prior = np.array([[4.0, 1.0, 3.0], [1.0, 4.0, 3.0]]) * (1 + 0.02 * n.sum())  # class personal, class other
+    p = 1 / (1 + np.exp(-1.5 * ((x == 0).sum(1) - (x == 1).sum(1) - 0.5)))
+    for _ in range(rounds):
+        counts = np.stack([np.einsum("i,ilo->lo", n * p, hot), np.einsum("i,ilo->lo", n * (1 - p), hot)]) + prior[:, None, :]
+        theta = counts / counts.sum(2, keepdims=True)
+        score = np.einsum("ilo,clo->ci", hot, np.log(theta))
+        new = 1 / (1 + np.exp(np.clip(score[1] - score[0], -50, 50)))
+        settled = np.abs(new - p).max() < 1e-9
+        p = new
+        if settled:
+            break
+    return p, theta
+
+
+def fit_label_model(patterns: list, rounds: int = 100) -> dict:
+    """P(personal | votes) of each pattern key, from (pattern key, count); a model for each kind."""
     out: dict = {}
     outcome = {"+": 0, "-": 1, "0": 2}
     for kind in sorted({k.split("|")[0] for k, _ in patterns}):
-        own = sorted((k, c) for k, c in patterns if k.split("|")[0] == kind)
-        x = np.array([[outcome[v] for v in k.split("|")[1]] for k, _ in own])
-        n = np.array([float(c) for _, c in own])
-        hot = np.eye(3)[x]  # pattern, labeler, outcome
-        prior = np.array([[4.0, 1.0, 3.0], [1.0, 4.0, 3.0]]) * (1 + 0.02 * n.sum())  # class personal, class other
-        p = 1 / (1 + np.exp(-1.5 * ((x == 0).sum(1) - (x == 1).sum(1) - 0.5)))
-        for _ in range(rounds):
-            counts = np.stack([np.einsum("i,ilo->lo", n * p, hot), np.einsum("i,ilo->lo", n * (1 - p), hot)]) + prior[:, None, :]
-            theta = np.log(counts / counts.sum(2, keepdims=True))
-            score = np.einsum("ilo,clo->ci", hot, theta)
-            new = 1 / (1 + np.exp(np.clip(score[1] - score[0], -50, 50)))
-            if np.abs(new - p).max() < 1e-9:
-                p = new
-                break
-            p = new
-        out.update({k: float(q) for (k, _), q in zip(own, p)})
+        votes_of: dict = {}
+        for k, c in sorted(patterns):
+            if k.split("|")[0] == kind:
+                votes_of.setdefault(k.split("|")[1], []).append((k, c))
+        names = sorted(votes_of)
+        x = np.array([[outcome[v] for v in name] for name in names])
+        p, _ = expectation_maximisation(x, np.array([float(sum(c for _, c in votes_of[name])) for name in names]), rounds)
+        out.update({k: float(q) for name, q in zip(names, p) for k, _ in votes_of[name]})
     return out
 
 
 def _features(key: str) -> np.ndarray:
-    kind, vote, shape = key.split("|")
+    kind, vote, shape, inside, word = key.split("|")
     x = [1.0] + [float(kind == k) for k in KINDS]
     x += [1.0 if v == "+" else -1.0 if v == "-" else 0.0 for v in vote]
     x += [float(shape[0] == c) for c in "_wp"] + [float(shape[1] == c) for c in "_wp"] + [float(shape[2] == c) for c in "sml"]
     x += [float(vote.count("+") >= 2), float("-" in vote)]
+    x += [float(inside[0] == c) for c in "0123"] + [float(inside[1] == "x"), float(inside[2] == "v")]
+    x += [float(int(word) == k) for k in range(WORD_CLASSES + 1)]
     return np.array(x)
 
 
@@ -279,7 +355,7 @@ def fit_span_classifier(patterns: list, soft: dict, rounds: int = 30, ridge: flo
     """Logistic regression on the soft labels, weighted by damped counts (Newton steps)."""
     own = sorted(patterns)
     if not own:
-        return np.zeros(len(_features("email|000000|__s")))
+        return np.zeros(len(_features("email|000000|__s|0--|0")))
     x = np.stack([_features(k) for k, _ in own])
     y = np.array([soft[k] for k, _ in own])
     n = np.log1p(np.array([float(c) for _, c in own]))
