@@ -10,17 +10,21 @@ cluster, and the answers meet the chunk again. A frequent key comes once per chu
 so no task holds its occurrences.
 
 A document's score is the mean over its words of background loss minus target
-loss (nats): higher is closer to the target.
+loss (nats): higher is closer to the target. Both models leave the document itself
+out: its own counts are taken off where it was counted, so a document labelled good
+isn't scored by a target that knows it, and all scores are alike out of sample. The
+background isn't cut down to the target's size: its counts grow with the corpus.
 
 Edge cases: null, empty and space-only texts have no words, zero losses and score
 zero; null labels and null ids never make a target; repeated labels count once;
-repeated rows count like any others; an empty target leaves both models equal in
-form, with the target uniform.
+repeated rows count like any others (a copy is no longer left out with its twin); an
+empty target leaves both models equal in form, with the target uniform; an empty table
+gives no rows; very long texts are chunks of their own; only the named columns are read.
 """
 
+import functools
 import pickle
 import uuid
-import zlib
 from typing import Iterator
 
 import numpy as np
@@ -34,55 +38,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tilespark.llm.common import ascii_lower, tidy
 from tilespark.session import materialise, ship
 
-WORDS, PAIRS = 1 << 16, 1 << 20
+#: Words among which the uniform part of both models is spread.
+WORDS = 1 << 16
 WEIGHTS = (0.6, 0.35, 0.05)  # bigram, unigram, uniform
 #: Target ids that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
-_START = WORDS  # before the first word
 #: Words and rows after which a chunk is closed; bytes of text for each key range.
 CHUNK_WORDS, CHUNK_ROWS, PART_BYTES = 1 << 20, 50_000, 32 << 20
 _DDL = "chunk string, part int, data binary"
 _NAMES, _TYPES = ["chunk", "part", "data", "n", "m"], [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
 
-class _Ids:
-    """Hashed ids for :class:`Model`."""
-
-    def __init__(self):
-        self.seen: dict = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words, seen = ascii_lower(text).split(), self.seen
-        if len(seen) > 100_000:
-            seen.clear()
-        for w in {w for w in words if w not in seen}:
-            seen[w] = zlib.crc32(w) % WORDS
-        return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-
-
-def pairs(ids: np.ndarray) -> np.ndarray:
-    """Cell of each word with the word before it."""
-    before = np.concatenate([[_START], ids[:-1]])
-    h = (before * (WORDS + 1) + ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(44)).astype(np.int64)
-
-
-class Model:
-    """The same probabilities on hashed tables in memory, for small texts: the tests compare with it."""
-
-    def __init__(self, counts: np.ndarray):
-        self.words = counts[:WORDS].astype(np.float32)
-        self.pairs = counts[WORDS:].astype(np.float32)
-        self.total = float(counts[:WORDS].sum())
-
-    def loss(self, ids: np.ndarray) -> np.ndarray:
-        """Loss of each word in nats. A pair's count is at most its words' counts, so hash clashes are cut there."""
-        before = np.concatenate([[0.0], self.words[ids[:-1]]])
-        both = np.minimum(self.pairs[pairs(ids)], np.minimum(np.where(before > 0, before, np.inf), self.words[ids]))
-        pair = np.where(before > 0, both / np.maximum(before, 1), self.words[ids] / max(self.total, 1))
-        return -np.log(WEIGHTS[0] * pair + WEIGHTS[1] * self.words[ids] / max(self.total, 1) + WEIGHTS[2] / WORDS)
-
-
 def _gram_keys(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """64-bit keys of the pairs ``before * len(hashes) + word``."""
     a, b = hashes[codes // len(hashes)], hashes[codes % len(hashes)]
@@ -109,19 +75,34 @@ class _Chunk:
         pair = np.bincount(self.pair, None if weight is None else weight[self.inner], len(self.keys) - self.words)
         return np.concatenate([np.bincount(self.idx, weight, self.words), pair]).astype(np.int64)
 
-    def means(self, counts: np.ndarray, total: int) -> np.ndarray:
-        """Mean loss of each document under the corpus's counts of the keys."""
-        own = counts[self.idx].astype(np.float64)
-        alone = own / max(total, 1)
+    def own(self) -> tuple:
+        """Occurrences of each word, and of each inner word's pair, in the word's own document."""
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        out = []
+        for at, codes, size in ((doc, self.idx, self.words), (doc[self.inner], self.pair, len(self.keys) - self.words)):
+            _, place, n = np.unique(at * max(1, size) + codes, return_inverse=True, return_counts=True)
+            out.append(n[place])
+        return out[0], out[1], self.lengths[doc]
+
+    def means(self, counts: np.ndarray, total: int, left_out: np.ndarray) -> np.ndarray:
+        """Mean loss of each document under the corpus's counts of the keys, less its own where ``left_out`` says so."""
+        word, gram, size = (x * m for x, m in zip(self._own, (left_out, left_out[self.inner], left_out)))
+        rest = np.maximum(total - size, 1)
+        known = counts[self.idx] - word
+        alone = known / rest
         pair = alone.copy()
-        before = counts[self.idx[self.inner - 1]].astype(np.float64)
-        both = counts[self.words + self.pair]
+        before = known[self.inner - 1].astype(np.float64)
+        both = counts[self.words + self.pair] - gram
         pair[self.inner] = np.where(before > 0, both / np.maximum(before, 1), alone[self.inner])
         loss = -np.log(WEIGHTS[0] * pair + WEIGHTS[1] * alone + WEIGHTS[2] / WORDS)
         ends = np.concatenate([[0.0], np.cumsum(loss)])
         at = np.cumsum(self.lengths)
         return (ends[at] - ends[at - self.lengths]) / np.maximum(self.lengths, 1)
 
+    @functools.cached_property
+    def _own(self) -> tuple:
+        return self.own()
+
 
 def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Number of the key range of each key."""
@@ -238,14 +219,15 @@ def _score_chunks(totals: tuple, id_type: pa.DataType, id_col: str):
         chunk, blob, held = None, None, []
 
         def done():
-            ids, _, sizes, idx, hashes = pickle.loads(blob)
+            ids, good, sizes, idx, hashes = pickle.loads(blob)
             background = target = np.zeros(len(ids))
             if sizes.sum():
                 c = _Chunk(_unpack(idx), sizes, hashes)
                 found = np.concatenate([[_unpack(x) for x in pickle.loads(h)] for h in held], 1)
                 counts = np.empty_like(found)
                 counts[:, c.order] = found
-                background, target = (np.where(sizes > 0, c.means(n, t), 0.0) for n, t in zip(counts, totals))
+                counted = (np.ones(sizes.sum(), bool), np.repeat(good, sizes))
+                background, target = (np.where(sizes > 0, c.means(n, t, m), 0.0) for n, t, m in zip(counts, totals, counted))
             cols = [pa.array(ids, id_type), pa.array(sizes), pa.array(target), pa.array(background), pa.array(background - target)]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_words", "target_loss", "background_loss", "score"])
 
