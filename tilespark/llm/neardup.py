@@ -103,13 +103,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     count = pairs.count()
     left, right = (texts.select(F.col("k").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
     same = per_text(_verify, "same boolean", 2)(F.col("ta"), F.col("tb"))["same"]
-    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("same")).filter("same").select("a", "b"), "near", count, 2_000)
+    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("same")).filter("same").select("a", "b"), "near", count)
 
 
-def _texts(nodes: DataFrame, docs: DataFrame, text_col: str, rows: int) -> DataFrame:
-    """The texts of those nodes (column k, ``rows`` at most), each once."""
+def _texts(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The texts of those nodes (column k), each once."""
     own = docs.select(_text_hash(text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return materialise(own.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")), "texts", rows, 5_000)
+    return materialise(own.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")), "texts")
 
 
 def _roots(found: DataFrame, rows: int) -> DataFrame:
@@ -130,10 +130,10 @@ def _buckets(nodes: DataFrame, rows: int) -> DataFrame:
     """(bucket, k, a) of buckets with two nodes or more; ``a`` is the node there that meets most others in all its buckets."""
     each = nodes.select(F.posexplode("bands").alias("band", "h"), "k").select(F.xxhash64("band", "h").alias("bucket"), "k")
     several = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    held = materialise(each.join(several, "bucket"), "buckets", BANDS * rows, 1_000_000)
+    held = materialise(each.join(several, "bucket"), "buckets", BANDS * rows)
     known = held.groupBy("k").agg(F.sum("c").alias("met"))
     centre = held.join(known, "k").groupBy("bucket").agg(F.max_by("k", F.struct("met", "k")).alias("a"))
-    return materialise(held.select("bucket", "k").join(centre, "bucket"), "centres", BANDS * rows, 1_000_000)
+    return materialise(held.select("bucket", "k").join(centre, "bucket"), "centres", BANDS * rows)
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def _open_pairs(nodes: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
     def make():
         return lambda ts: [[prefix(shingles(t), counts.value).view(np.int64) for t in ts]]
 
-    heads = materialise(texts.select("k", per_text(make, "head array<long>")(F.col("t"))["head"].alias("head")).join(nodes, "k"), "heads", rows, 5_000)
+    heads = materialise(texts.select("k", per_text(make, "head array<long>")(F.col("t"))["head"].alias("head")).join(nodes, "k"), "heads")
     each = heads.select(F.posexplode("head").alias("at", "token"), "k", "root", "n")
     roots = each.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "major")
     shared = materialise(each.join(roots, "token"), "shared_shingles", 20 * rows)
@@ -180,7 +180,7 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     fits = shared.join(sizes, "k").join(sizes.select(F.col("k").alias("a"), F.col("n").alias("m")), "a").filter(_close(F.col("n"), F.col("m")))
     best = fits.groupBy("k").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("k").alias("b"))
     first = materialise(near.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first_pairs", count)
-    compared = _texts(first.select(F.col("a").alias("k")).union(first.select("b")).distinct(), docs, text_col, count)
+    compared = _texts(first.select(F.col("a").alias("k")).union(first.select("b")).distinct(), docs, text_col)
     found = _verified(first, compared)
     for t in (near, first, compared):
         discard(t)
@@ -190,7 +190,7 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     left = tied.join(mixed, "bucket", "left_semi").groupBy("k").agg(F.first("root").alias("root"))
     open_ = materialise(left.join(sizes, "k"), "open", count)
     discard(rows)
-    texts = _texts(open_.select("k"), docs, text_col, count)
+    texts = _texts(open_.select("k"), docs, text_col)
     pairs = _open_pairs(open_, texts, count)
     more = _verified(pairs, texts)
     for t in (root, open_, texts, pairs):

@@ -51,23 +51,23 @@ def index_vectors(words: list) -> tuple[np.ndarray, np.ndarray]:
     seeds[len(words) :] += np.uint64(1 << 32)
     h = (seeds[:, None] * np.uint64(NONZERO) + np.arange(NONZERO, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(40)) % np.uint64(DIMS)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1).astype(np.int64)
+    return ((h >> np.uint64(40)) % np.uint64(DIMS)).astype(np.int32), np.where(h >> np.uint64(63), 1, -1).astype(np.int32)
 
 
 class _Places:
     """Row of each word in the tables; other strings are hashed once, in a bounded table."""
 
     def __init__(self, words: list):
-        self.size, self.own = len(words), {w: k for k, w in enumerate(words)}
-        self.seen: dict = {}
+        self.words, self.seen = words, {w: k for k, w in enumerate(words)}
 
     def __call__(self, text: str) -> np.ndarray:
-        words, own, seen = _TOKEN.findall(text), self.own, self.seen
-        if len(seen) > 50_000:
-            seen.clear()
-        for w in {w for w in words if w not in own and w not in seen}:
-            seen[w] = self.size + zlib.crc32(w.encode("utf-8", "surrogatepass")) % OTHERS
-        return np.array([own[w] if w in own else seen[w] for w in words], np.int64)
+        words, size = _TOKEN.findall(text), len(self.words)
+        if len(self.seen) > size + 50_000:
+            self.seen = {w: k for k, w in enumerate(self.words)}
+        seen = self.seen
+        for w in {w for w in words if w not in seen}:
+            seen[w] = size + zlib.crc32(w.encode("utf-8", "surrogatepass")) % OTHERS
+        return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
 
 
 def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list:
@@ -102,7 +102,7 @@ def _count(shared):
         at, sign = index_vectors(words)
         places, size = _Places(words), len(at)
         table, own = np.zeros(size * DIMS, np.int32), np.zeros(size, np.int64)
-        gap = np.full(REACH, -1)
+        gap = np.full(REACH, -1, np.int32)
 
         def add(lists):
             ids = np.concatenate([x for i in lists for x in (i, gap)])
@@ -110,8 +110,7 @@ def _count(shared):
             for d in range(1, REACH + 1):
                 both = (ids[d:] >= 0) & (ids[:-d] >= 0)
                 for word, near in ((ids[d:][both], ids[:-d][both]), (ids[:-d][both], ids[d:][both])):
-                    cells = (word[:, None] * DIMS + at[near]).ravel()
-                    table[:] += np.bincount(cells, sign[near].ravel(), len(table)).astype(np.int32)
+                    np.add.at(table, (word[:, None] * np.int32(DIMS) + at[near]).ravel(), sign[near].ravel())
 
         held, total = [], 0
         for b in batches:
