@@ -70,18 +70,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tilespark/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, rows: int | None = None, rows_each: int = 250_000) -> DataFrame:
+#: Rows of a file, and files, up to which a table of known size is written by fewer tasks.
+FILE_ROWS, FEW_FILES = 250_000, 8
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage.
 
-    Where a bound of its ``rows`` is known, small tables get one file for each ``rows_each``
-    of them instead of one for each task. The table carries its path as
-    ``_tilespark_path`` for :func:`discard`.
+    Where ``rows`` bounds its size and that is small, the table gets ``FEW_FILES`` files at most
+    instead of one for each task. It carries its path as ``_tilespark_path`` for :func:`discard`.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    parts = None if rows is None else 1 + rows // rows_each
-    if parts is not None and parts < int(spark.conf.get("spark.sql.shuffle.partitions")):
-        df = df.coalesce(parts)
+    if rows is not None and rows < FEW_FILES * FILE_ROWS:
+        df = df.repartition(1 + rows // FILE_ROWS)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tilespark_path = path
