@@ -135,3 +135,16 @@ def reproject(from_epsg: int, to_epsg: int, x: Column, y: Column) -> tuple[Colum
     if (from_epsg, to_epsg) == (3857, 4326):
         return to_geodetic(x, y)
     raise ValueError(f"no transformation from EPSG:{from_epsg} to EPSG:{to_epsg}")
+
+
+def project(from_epsg: int, to_epsg: int, x: float, y: float) -> tuple[float, float]:
+    """A single point in closed form, for raster metadata."""
+    if from_epsg == to_epsg:
+        return x, y
+    if (from_epsg, to_epsg) == (4326, 3857):
+        if not -90 < y < 90:
+            raise ValueError("could not transform the raster's bounds to the grid's spatial reference system")
+        return math.radians(x) * EARTH_RADIUS, math.log(math.tan(math.radians(y) / 2 + math.pi / 4)) * EARTH_RADIUS
+    if (from_epsg, to_epsg) == (3857, 4326):
+        return math.degrees(x / EARTH_RADIUS), math.degrees(2 * math.atan(math.exp(y / EARTH_RADIUS)) - math.pi / 2)
+    raise ValueError(f"no transformation from EPSG:{from_epsg} to EPSG:{to_epsg}")

@@ -9,7 +9,7 @@ around them by an equi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilespark.functions.grid import Grid, reproject
@@ -49,24 +49,48 @@ def _spread(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], t
     return gx.select("band", "v", F.col("z.zoom").alias("zoom"), "gx", F.explode(cell(F.col("s"), F.col("n"), F.lit(grid.half_y))).alias("gy"))
 
 
-def _aggregate(method: str) -> Column:
-    v = F.col("v")
+def _ranked(spread: DataFrame, method: str) -> DataFrame:
+    """Mode and quartiles from counts of each value in a cell, so no task holds a cell's pixels."""
+    cell = ["band", "zoom", "gx", "gy"]
+    counted = spread.groupBy(*cell, "v").agg(F.count(F.lit(1)).alias("c"))
     if method == "mode":
-        return F.mode(v, deterministic=True)
-    if method in ("max", "min"):
-        return getattr(F, method)(v)
-    share = {"med": 0.5, "q1": 0.25, "q3": 0.75}[method]
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY v)")
-
-
-def area(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], method: str = "average", terrain: bool = True, value: str = "value") -> DataFrame:
-    """Cells (band, zoom, gx, gy, n, v) by an aggregate of the pixels that overlap each; nulls don't count."""
+        return counted.groupBy(*cell).agg(F.sum("c").alias("n"), F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
+    quarters = {"q1": 1, "med": 2, "q3": 3}[method]
+    upto = Window.partitionBy(*cell).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counted.withColumn("upto", F.sum("c").over(upto))
+    totals = counted.groupBy(*cell).agg(F.sum("c").alias("n"))
+    enough = running.join(totals, cell).filter(4 * F.col("upto") >= quarters * F.col("n"))
+    return enough.groupBy(*cell).agg(F.first("n").alias("n"), F.min("v").alias("v"))
+
+
+def area(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], method: str = "average", terrain: bool = True, value: str = "value", only=None, pyramid: bool = False) -> DataFrame:
+    """Cells (band, zoom, gx, gy, n, v) by an aggregate of the pixels that overlap each; nulls don't count.
+
+    ``only`` filters the rows (zoom, gx, gy) before anything is aggregated. ``pyramid`` reads
+    the pixels for the finest zoom alone and makes each coarser one from the one above: exact for
+    extremes, near for the average, not offered for the others.
+    """
     check(method)
-    spread = _spread(pixels, meta, grid, zooms, terrain, value)
+    if pyramid and method not in ("average", "max", "min"):
+        raise ValueError(f"no pyramid for {method}")
+    zooms = sorted(zooms, reverse=True)
+    spread = _spread(pixels, meta, grid, zooms[:1] if pyramid else zooms, terrain, value)
+    spread = spread if only is None or pyramid else only(spread)
     grouped = spread.groupBy("band", "zoom", "gx", "gy")
+    if pyramid:
+        level = grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        levels = level
+        for zoom in range(zooms[0] - 1, zooms[-1] - 1, -1):
+            level = rollup(level)
+            levels = levels.unionByName(level) if zoom in zooms else levels
+        v = {"average": F.col("s") / F.col("n"), "max": F.col("hi"), "min": F.col("lo")}[method]
+        out = levels.select("band", "zoom", "gx", "gy", "n", v.alias("v"))
+        return out if only is None else only(out)
     if method == "average":
         return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).select("band", "zoom", "gx", "gy", "n", (F.col("s") / F.col("n")).alias("v"))
-    return grouped.agg(F.count(F.lit(1)).alias("n"), _aggregate(method).alias("v"))
+    if method in ("max", "min"):
+        return grouped.agg(F.count(F.lit(1)).alias("n"), getattr(F, method)("v").alias("v"))
+    return _ranked(spread, method)
 
 
 def rollup(cells: DataFrame) -> DataFrame:
@@ -89,11 +113,14 @@ def _weight(method: str, t: Column) -> Column:
     return F.when(a < 1e-12, 1.0).when(a < 3, F.sin(p) / p * F.sin(p / 3) / (p / 3)).otherwise(0.0)
 
 
-def point(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], method: str = "nearest", terrain: bool = True, value: str = "value") -> DataFrame:
-    """Cells (band, zoom, gx, gy, v) sampled at their centres; weights are renewed over the pixels there are."""
+def point(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], method: str = "nearest", terrain: bool = True, value: str = "value", only=None) -> DataFrame:
+    """Cells (band, zoom, gx, gy, v) sampled at their centres; weights are renewed over the pixels there are.
+
+    Centres are carried into the raster's reference system where it differs from the grid's.
+    """
     check(method)
     spark = pixels.sparkSession
-    minx, miny, maxx, maxy = meta.bounds
+    minx, miny, maxx, maxy = meta.bounds_on(grid)
     levels = []
     for z in zooms:
         p = pitch(grid, z, terrain)
@@ -104,6 +131,8 @@ def point(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], met
     n = sum((x1 - x0 + 1) * (y1 - y0 + 1) for _, _, x0, x1, y0, y1 in levels)
     cells = spread(cells.select("zoom", "p", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("gx")), n, "zoom", "gx").select("zoom", "p", "gx", F.explode(F.sequence("y0", "y1")).alias("gy"))
     x, y = F.lit(-grid.half_x) + (F.col("gx") + 0.5) * F.col("p"), F.lit(-grid.half_y) + (F.col("gy") + 0.5) * F.col("p")
+    cells = cells if only is None else only(cells)
+    x, y = reproject(grid.epsg, meta.epsg, x, y)
     u, v = (x - meta.x0) / meta.dx - 0.5, (meta.y0 - y) / meta.dy - 0.5
     inside = (F.col("u") >= -0.5) & (F.col("u") < meta.n_cols - 0.5) & (F.col("v") >= -0.5) & (F.col("v") < meta.n_rows - 0.5)
     at = cells.select("zoom", "gx", "gy", u.alias("u"), v.alias("v")).filter(inside)

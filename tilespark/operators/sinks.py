@@ -59,7 +59,7 @@ def feature_collections(features: DataFrame) -> DataFrame:
     levels go through :func:`write_geojson`, a feature a line.
     """
     rows = features.groupBy("zoom").agg(F.array_sort(F.collect_list(F.struct("tx", "ty", "feature"))).alias("f"))
-    return rows.select("zoom", F.concat(F.lit('{ "type": "FeatureCollection", "features": [\n'), F.array_join(F.col("f.feature"), ",\n"), F.lit("\n]}")).alias("geojson"))
+    return rows.select("zoom", F.concat(F.lit('{ "type": "FeatureCollection", "features": [\n'), F.array_join(F.col("f.feature"), ",\n"), F.lit("]}\n")).alias("geojson"))
 
 
 def write_geojson(features: DataFrame, path: str) -> None:
@@ -77,7 +77,7 @@ def info(heights: Column, children: Column, mask: Column, show_heights: bool = F
         named = F.concat_ws(" ", *(F.when(codec.has_child(children, k), F.lit(k.upper())) for k in ("sw", "se", "nw", "ne")))
         parts.append(F.when(codec.has_children(children), F.concat(F.lit("Child tiles: "), named)).otherwise(F.lit(" None")))
     if show_type:
-        kind = F.when(codec.has_water_mask(mask), "a water mask").when(codec.is_water(mask), "all water").otherwise("all land")
+        kind = F.when(codec.has_water_mask(mask), "water mask").when(codec.is_land(mask), "all land").when(codec.is_water(mask), "all water").otherwise("unknown")
         parts.append(F.concat(F.lit("Tile type: "), kind))
     return F.concat_ws("\n", *parts)
 
@@ -90,7 +90,6 @@ def write_files(files: DataFrame, target: str) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        
         store, base = open_store(target)
         made: set = set()
         for b in batches:

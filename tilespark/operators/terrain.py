@@ -17,7 +17,7 @@ from tilespark.sources.rasters import RasterMeta
 def children(grid: Grid, meta: RasterMeta, zoom: Column, tx: Column, ty: Column) -> Column:
     """Bitmask of quarters that overlap the raster; 0 at the raster's finest zoom."""
     box = grid.tile_bounds(tx, ty, zoom)
-    whole = tuple(F.lit(v) for v in meta.bounds)
+    whole = tuple(F.lit(v) for v in meta.bounds_on(grid))
     q = B.quadrants(box)
     bits = sum((F.when(B.overlaps(q[k], whole), F.lit(bit)).otherwise(F.lit(0)) for k, bit in codec.FLAGS.items()), F.lit(0))
     return F.when(zoom == meta.max_zoom(grid), F.lit(0)).otherwise(bits).cast("int")
@@ -49,11 +49,25 @@ def plain_members(cells: DataFrame, size: int) -> DataFrame:
     return cells.select(*rest, fl("gx").alias("tx"), fl("gy").alias("ty"), (size - 1 - F.pmod("gy", F.lit(size))).cast("int").alias("r"), F.pmod("gx", F.lit(size)).cast("int").alias("k"))
 
 
-def terrain_tiles(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int] | None = None, method: str = "average", value: str = "value", existing: DataFrame | None = None) -> DataFrame:
+#: Missing tiles that may be broadcast (24 bytes each, for four owners).
+BROADCAST_KEYS = 500_000
+
+
+def missing_cells(keys: DataFrame, n: int, side: int = codec.SIDE - 1):
+    """A filter of lattice rows (zoom, gx, gy): those whose own tile, or one that borrows its border from it, is in ``keys``."""
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, -1) for j in (0, 1))))
+    owners = keys.select("zoom", "tx", "ty", around.alias("a")).select(F.col("zoom").alias("_z"), (F.col("tx") + F.col("a.i")).alias("_x"), (F.col("ty") + F.col("a.j")).alias("_y")).distinct()
+    owners = F.broadcast(owners) if n <= BROADCAST_KEYS else owners
+    own = lambda c: F.floor(F.col(c) / side).cast("long")
+    return lambda rows: rows.join(owners, (F.col("zoom") == F.col("_z")) & (own("gx") == F.col("_x")) & (own("gy") == F.col("_y")), "left_semi")
+
+
+def terrain_tiles(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int] | None = None, method: str = "average", value: str = "value", existing: DataFrame | None = None, pyramid: bool = False) -> DataFrame:
     """Height tiles: zoom, tx, ty, children, n_cells, h_sum, height_bytes.
 
     ``existing`` (zoom, tx, ty) resumes a build: those tiles are taken away from
-    the keys before anything is aggregated for them.
+    the keys, zooms without missing tiles aren't looked at, and of the others only cells
+    of missing tiles are aggregated. ``pyramid`` is that of :func:`resample.area`.
     """
     if grid.tile_size != codec.SIDE:
         raise ValueError("height tiles need a tile size of 65")
@@ -63,10 +77,19 @@ def terrain_tiles(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[i
     zooms = sorted(zooms if zooms is not None else range(top + 1), reverse=True)
     levels = E.ranges(spark, {z: meta.tile_range(grid, z) for z in zooms})
     keys = E.keys(levels)
+    first = pixels.filter("band = 1") if "band" in pixels.columns else pixels
+    options = {"value": value}
     if existing is not None:
         keys = keys.join(existing.select("zoom", "tx", "ty"), ["zoom", "tx", "ty"], "left_anti")
-    first = pixels.filter("band = 1") if "band" in pixels.columns else pixels
-    cells = R.resample(first, meta, grid, zooms, method, value=value)
+        missing = {r["zoom"]: r["n"] for r in keys.groupBy("zoom").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each zoom
+        options["only"] = missing_cells(keys, sum(missing.values()))
+        if not pyramid:
+            zooms = [z for z in zooms if z in missing] or zooms[-1:]
+        if not missing:
+            first = first.filter(F.lit(False))
+    if pyramid:
+        options["pyramid"] = True
+    cells = R.resample(first, meta, grid, zooms, method, **options)
     coded = cells.select("zoom", "gx", "gy", codec.quantise(F.col("v")).alias("h"))
     members = border_members(coded)
     tiles = members.groupBy("zoom", "tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("s"), F.collect_list(F.struct((F.col("r") * codec.SIDE + F.col("k")).alias("i"), "h")).alias("c"))  # at most 4225 cells a tile

@@ -20,16 +20,18 @@ def _zooms(meta: RasterMeta, grid, start_zoom: int | None, end_zoom: int | None)
 
 
 def terrain_files(tiles: DataFrame, compress: bool = True) -> DataFrame:
-    """(path, content) of height tiles; all of them are land."""
-    raw = codec.raw_from_bytes(F.col("height_bytes"), F.col("children"), F.lit(bytearray(codec.LAND)))
+    """(path, content) of height tiles; land unless a column ``mask`` says otherwise."""
+    land = F.lit(bytearray(codec.LAND))
+    mask = F.coalesce(F.col("mask"), land) if "mask" in tiles.columns else land
+    raw = codec.raw_from_bytes(F.col("height_bytes"), F.col("children"), mask)
     content = codec.gzip_bytes(raw) if compress else raw
     return tiles.select(sinks.tile_path(F.col("zoom"), F.col("tx"), F.col("ty")).alias("path"), content.alias("content"))
 
 
-def build_terrain(pixels: DataFrame, meta: RasterMeta, profile_name: str = "geodetic", tile_size: int | None = None, start_zoom: int | None = None, end_zoom: int | None = None, method: str = "average", existing: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """Height tiles of a raster. ``strict`` keeps to the average whatever ``method`` says; ``existing`` resumes."""
+def build_terrain(pixels: DataFrame, meta: RasterMeta, profile_name: str = "geodetic", tile_size: int | None = None, start_zoom: int | None = None, end_zoom: int | None = None, method: str = "average", existing: DataFrame | None = None, strict: bool = False, pyramid: bool = False) -> DataFrame:
+    """Height tiles of a raster. ``strict`` keeps to the average whatever ``method`` says; ``existing`` resumes; ``pyramid`` makes coarse levels from finer ones."""
     grid = profile(profile_name, tile_size)
-    return terrain.terrain_tiles(pixels, meta, grid, _zooms(meta, grid, start_zoom, end_zoom), "average" if strict else method, existing=existing)
+    return terrain.terrain_tiles(pixels, meta, grid, _zooms(meta, grid, start_zoom, end_zoom), "average" if strict else method, existing=existing, pyramid=pyramid)
 
 
 def build_raster(pixels: DataFrame, meta: RasterMeta, profile_name: str = "geodetic", tile_size: int | None = None, start_zoom: int | None = None, end_zoom: int | None = None, method: str = "average") -> DataFrame:

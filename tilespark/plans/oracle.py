@@ -197,7 +197,7 @@ def oracle(resolutions) -> dict[str, str]:
         "tile_path": f"WITH {KEYS} SELECT zoom, tx, ty, {PATH} AS path FROM keys",
         "resume_anti_join": f"WITH {KEYS} SELECT zoom, tx, ty, {PATH} AS path FROM keys WHERE (tx + ty) % 2 != 0",
         "extents_feature": f"WITH {KEYS} SELECT zoom, tx, ty, {_FEATURE} AS feature FROM keys",
-        "extents_geojson": f"WITH {KEYS}, f AS (SELECT zoom, tx, ty, {_FEATURE} AS feature FROM keys) SELECT zoom, '{{ \"type\": \"FeatureCollection\", \"features\": [' || chr(10) || string_agg(feature, ',' || chr(10) ORDER BY tx, ty) || chr(10) || ']}}' AS geojson FROM f GROUP BY zoom",
+        "extents_geojson": f"WITH {KEYS}, f AS (SELECT zoom, tx, ty, {_FEATURE} AS feature FROM keys) SELECT zoom, '{{ \"type\": \"FeatureCollection\", \"features\": [' || chr(10) || string_agg(feature, ',' || chr(10) ORDER BY tx, ty) || ']}}' || chr(10) AS geojson FROM f GROUP BY zoom",
         "tile_info": f"WITH {CHILDREN} SELECT zoom, tx, ty, CASE WHEN children = 0 THEN ' None' ELSE 'Child tiles: ' || concat_ws(' ', " + ", ".join(f"CASE WHEN (children & {b}) = {b} THEN '{k.upper()}' END" for k, b in _BITS.items()) + ") END || chr(10) || 'Tile type: all land' AS info FROM ch",
     }
     return q

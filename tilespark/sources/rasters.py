@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.functions.grid import Grid
+from tilespark.functions.grid import Grid, project
 
 
 @dataclass(frozen=True)
@@ -43,12 +43,31 @@ class RasterMeta:
     def resolution(self) -> float:
         return abs(self.dx)
 
+    def requires_reprojection(self, grid: Grid) -> bool:
+        return self.epsg != grid.epsg
+
+    def bounds_on(self, grid: Grid) -> tuple[float, float, float, float]:
+        """The box of the four corners in the grid's reference system."""
+        minx, miny, maxx, maxy = self.bounds
+        if not self.requires_reprojection(grid):
+            return minx, miny, maxx, maxy
+        corners = [project(self.epsg, grid.epsg, x, y) for x in (minx, maxx) for y in (miny, maxy)]
+        xs, ys = zip(*corners)
+        return min(xs), min(ys), max(xs), max(ys)
+
+    def resolution_on(self, grid: Grid) -> float:
+        """Pixel width on the grid: of the reprojected box where the systems differ."""
+        if not self.requires_reprojection(grid):
+            return self.resolution
+        minx, _, maxx, _ = self.bounds_on(grid)
+        return (maxx - minx) / self.n_cols
+
     def max_zoom(self, grid: Grid) -> int:
-        return grid.zoom_of(self.resolution)
+        return grid.zoom_of(self.resolution_on(grid))
 
     def tile_range(self, grid: Grid, zoom: int) -> tuple[int, int, int, int]:
         """First and last tile of the raster; a border on a tile edge counts the next tile too."""
-        minx, miny, maxx, maxy = self.bounds
+        minx, miny, maxx, maxy = self.bounds_on(grid)
         return (*grid.tile_of(minx, miny, zoom), *grid.tile_of(maxx, maxy, zoom))
 
 
