@@ -197,10 +197,50 @@ def test_nodata_multiband_mosaic_and_rows(spark, sf_dir):
             S.RasterMeta(**({"n_cols": 1, "n_rows": 1, "x0": 0.0, "y0": 0.0, "dx": 1.0, "dy": 1.0} | bad))
 
 
-def test_mercator_raster_tiles_from_degrees(spark, sf_dir):
+def test_mercator_raster_from_degrees(spark, sf_dir):
     meta, px = S.dem_meta(spark, sf_dir), S.dem_pixels(spark, sf_dir)
-    t = build.build_raster(px, meta, "mercator", start_zoom=3)
-    assert t.filter("zoom = 0").count() == 1 and t.filter("zoom = 3 AND tx = 3").count() >= 1
+    merc = G.global_mercator()
+    assert meta.requires_reprojection(merc) and not meta.requires_reprojection(GEO) and meta.max_zoom(merc) == 5
+    assert build.extents(spark, meta, "mercator", start_zoom=5, end_zoom=5).agg(F.min("ty")).collect()[0][0] >= 18  # north of 30 degrees
+    near = R.point(px, meta, merc, [5], terrain=False).select("gx", "gy", F.col("v").alias("near"))
+    both = R.area(px, meta, merc, [5], "min", terrain=False).join(R.area(px, meta, merc, [5], "max", terrain=False).select("gx", "gy", F.col("v").alias("hi")), ["gx", "gy"]).join(near, ["gx", "gy"])
+    assert both.count() == near.count() > 1000 and both.filter("NOT near BETWEEN v AND hi").count() == 0
+    tiles = build.build_raster(px, meta, "mercator")
+    keys = build.extents(spark, meta, "mercator")
+    assert tiles.join(keys, ["zoom", "tx", "ty"], "left_anti").count() == 0 and tiles.filter("zoom = 0").count() == 1
+    for bad in ({"y0": 90.0, "n_rows": 10}, {"epsg": 2154}):
+        with pytest.raises(ValueError):
+            S.RasterMeta(**({"n_cols": 10, "n_rows": 10, "x0": 0.0, "y0": 10.0, "dx": 1.0, "dy": 1.0} | bad)).max_zoom(merc)
+
+
+def test_resume_aggregates_missing_tiles_only(spark, sf_dir):
+    meta, px = S.dem_meta(spark, sf_dir), S.dem_pixels(spark, sf_dir)
+    every = terrain.terrain_tiles(px, meta, GEO).cache()
+    for lost in ("zoom = 4 AND tx % 3 = 0", "zoom < 2", "ty % 2 = 0", "1 = 0"):
+        there = every.filter(f"NOT ({lost})").select("zoom", "tx", "ty")
+        own = terrain.terrain_tiles(px, meta, GEO, existing=there)
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, every.filter(lost).collect())), lost
+    rows = spark.createDataFrame(every.select("zoom", "tx", "ty").collect(), "zoom int, tx long, ty long")
+    plan = terrain.terrain_tiles(px, meta, GEO, existing=rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "orders" not in plan and "o_totalprice" not in plan  # nothing is missing: no pixel is read
+    for method in ("mode", "average", "bilinear"):
+        full = terrain.terrain_tiles(px, meta, GEO, method=method)
+        some = terrain.terrain_tiles(px, meta, GEO, method=method, existing=every.filter("zoom <> 3").select("zoom", "tx", "ty"))
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, full.filter("zoom = 3").collect()))
+
+
+def test_pyramid_and_masks(spark, sf_dir):
+    meta, px = S.dem_meta(spark, sf_dir), S.dem_pixels(spark, sf_dir)
+    near = R.area(px, meta, GEO, [5, 3], pyramid=True).join(R.area(px, meta, GEO, [5, 3]).withColumnRenamed("v", "own").drop("n"), ["band", "zoom", "gx", "gy"])
+    assert near.count() == R.area(px, meta, GEO, [5, 3]).count() and near.filter("zoom = 5 AND abs(v - own) > 1e-9").count() == 0
+    with pytest.raises(ValueError):
+        R.area(px, meta, GEO, [1], "mode", pyramid=True)
+    assert build.build_terrain(px, meta, start_zoom=3, pyramid=True).count() == build.build_terrain(px, meta, start_zoom=3).count()
+    tiles = build.build_terrain(px, meta, start_zoom=0).withColumn("mask", F.lit(bytearray(codec.WATER)))
+    read = build.decode_tiles(build.terrain_files(tiles).select("content", F.lit(0).alias("zoom"), F.lit(0).alias("tx"), F.lit(0).alias("ty")))
+    assert all(r["info"].endswith("Tile type: all water") for r in build.tile_info(read).collect())
+    kinds = spark.createDataFrame([(bytearray(b"\0" * 65536),), (bytearray(b"\2"),), (bytearray(b"\0"),)], "mask binary").select(sinks.info(F.array(), F.lit(0), F.col("mask"), show_children=False).alias("t"))
+    assert [r["t"] for r in kinds.collect()] == ["Tile type: water mask", "Tile type: unknown", "Tile type: all land"]
 
 
 def test_rollup_keeps_extremes(spark, sf_dir):

@@ -61,7 +61,7 @@ def extent_ranges(spark: SparkSession, grid: Grid, extent: tuple, start: int, en
 def raster_ranges(spark: SparkSession, grid: Grid, meta: RasterMeta, start: int | None = None, end: int = 0) -> DataFrame:
     """From the raster's finest zoom (or ``start``) down to ``end``."""
     start = meta.max_zoom(grid) if start is None or start < 0 else start
-    return extent_ranges(spark, grid, meta.bounds, start, max(end, 0))
+    return extent_ranges(spark, grid, meta.bounds_on(grid), start, max(end, 0))
 
 
 def ordered(tiles: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from tilespark.functions.grid import Grid, reproject
 from tilespark.operators.enumerate import spread
 from tilespark.sources.rasters import RasterMeta
 
+#: Overlap, in cells, that counts as none between reprojected pixels and cells.
+SLIVER = 1e-9
 AREA = ("average", "mode", "max", "min", "med", "q1", "q3")
 POINT = ("nearest", "bilinear", "cubic", "cubicspline", "lanczos")
 
@@ -44,7 +46,12 @@ def _spread(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], t
     east, north = reproject(meta.epsg, grid.epsg, x(F.col("col") + 1), y(F.col("row")))
     band = F.col("band") if "band" in pixels.columns else F.lit(1)
     own = pixels.filter(F.col(value).isNotNull()).select(band.alias("band"), F.col(value).alias("v"), west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"), _zooms(grid, zooms, terrain).alias("z"))
-    cell = lambda lo, hi, half: F.sequence(F.floor((lo + half) / F.col("z.p")).cast("long"), (F.ceil((hi + half) / F.col("z.p")) - 1).cast("long"))
+    slack = SLIVER if meta.requires_reprojection(grid) else 0.0  # edges that fall on cell borders only up to rounding
+
+    def cell(lo, hi, half):
+        first, last = F.floor((lo + half) / F.col("z.p") + slack).cast("long"), (F.ceil((hi + half) / F.col("z.p") - slack) - 1).cast("long")
+        return F.sequence(first, F.greatest(first, last) if slack else last)
+
     gx = own.select("band", "v", "z", "s", "n", F.explode(cell(F.col("w"), F.col("e"), F.lit(grid.half_x))).alias("gx"))
     return gx.select("band", "v", F.col("z.zoom").alias("zoom"), "gx", F.explode(cell(F.col("s"), F.col("n"), F.lit(grid.half_y))).alias("gy"))
 

@@ -104,6 +104,43 @@ TILES = f"""{CHILDREN}{_TAIL(MEMBERS)}, full_cells AS (SELECT k.zoom, k.tx, k.ty
 tiles AS (SELECT zoom, tx, ty, count(h) AS n_cells, CAST(sum(coalesce(h, 5000)) AS BIGINT) AS h_sum, string_agg({_HEX.format(h='coalesce(h, 5000)')}, '' ORDER BY i) AS hex FROM full_cells GROUP BY zoom, tx, ty)"""
 
 
+# the same raster on the mercator grid of 256-cell tiles
+ZOOM_MERC = math.ceil(math.log2(MERC_R0 / (math.radians(0.0625) * 6378137.0)))
+_E = f"{MERC_EDGE!r}::DOUBLE"
+_RES_M = f"({MERC_R0!r}::DOUBLE / pow(2.0::DOUBLE, zoom))"
+
+
+def _mx(lon):
+    return f"(radians({lon}) * 6378137.0)"
+
+
+def _my(lat):
+    return f"(ln(tan(radians({lat}) / 2 + pi() / 4)) * 6378137.0)"
+
+
+LEVELS_M = f"""{DEM}, geo AS (SELECT max(row) + 1 AS n FROM dem), meta AS (SELECT {_mx('-10.0::DOUBLE')} AS minx, {_my('45.0::DOUBLE - n * 0.0625::DOUBLE')} AS miny, {_mx('-0.625::DOUBLE')} AS maxx, {_my('45.0::DOUBLE')} AS maxy FROM geo),
+zs AS (SELECT CAST(range AS INTEGER) AS zoom FROM range({ZOOM_MERC + 1})),
+lv AS (SELECT zoom, """ + ", ".join(f"CAST(floor(({c} + {_E}) / {_RES_M}) AS BIGINT) // 256 AS {n}" for c, n in (("minx", "x0"), ("miny", "y0"), ("maxx", "x1"), ("maxy", "y1"))) + " FROM zs, meta)"
+KEYS_M = f"""{LEVELS_M}, kx AS (SELECT zoom, y0, y1, unnest(range(x0, x1 + 1)) AS tx FROM lv), keys AS (SELECT zoom, tx, unnest(range(y0, y1 + 1)) AS ty FROM kx)"""
+_BM = tuple(f"({t} * 256.0::DOUBLE * {_RES_M} - {_E})" for t in ("tx", "ty", "(tx + 1)", "(ty + 1)"))
+_MXM, _MYM = f"({_BM[0]} + ({_BM[2]} - {_BM[0]}) / 2)", f"({_BM[1]} + ({_BM[3]} - {_BM[1]}) / 2)"
+CHILDREN_M = f"""{KEYS_M} SELECT zoom, tx, ty, CAST(CASE WHEN zoom = {ZOOM_MERC} THEN 0 ELSE
+CASE WHEN {_over(_BM[0], _BM[1], _MXM, _MYM)} THEN 1 ELSE 0 END + CASE WHEN {_over(_MXM, _BM[1], _BM[2], _MYM)} THEN 2 ELSE 0 END +
+CASE WHEN {_over(_BM[0], _MYM, _MXM, _BM[3])} THEN 4 ELSE 0 END + CASE WHEN {_over(_MXM, _MYM, _BM[2], _BM[3])} THEN 8 ELSE 0 END END AS INTEGER) AS children FROM keys, meta m"""
+
+
+def _spread_m():
+    cell = lambda lo, hi: f"unnest(range(CAST(floor(({lo} + {_E}) / {_RES_M} + 1e-9) AS BIGINT), CAST(ceil(({hi} + {_E}) / {_RES_M} - 1e-9) AS BIGINT)))"
+    lon, lat = (lambda c: _mx(f"(-10.0::DOUBLE + {c} * 0.0625::DOUBLE)")), (lambda r: _my(f"(45.0::DOUBLE - {r} * 0.0625::DOUBLE)"))
+    return f"""{LEVELS_M}, sx AS (SELECT zoom, row, elev_m AS v, {cell(lon('col'), lon('(col + 1)'))} AS gx FROM dem, zs), spread AS (SELECT zoom, gx, v, {cell(lat('(row + 1)'), lat('row'))} AS gy FROM sx)"""
+
+
+NEAREST_M = f"""{LEVELS_M}, cx AS (SELECT zoom, miny, maxy, unnest(range(CAST(floor((minx + {_E}) / {_RES_M}) AS BIGINT), CAST(floor((maxx + {_E}) / {_RES_M}) AS BIGINT) + 1)) AS gx FROM zs, meta),
+cy AS (SELECT zoom, gx, unnest(range(CAST(floor((miny + {_E}) / {_RES_M}) AS BIGINT), CAST(floor((maxy + {_E}) / {_RES_M}) AS BIGINT) + 1)) AS gy FROM cx),
+ll AS (SELECT zoom, gx, gy, degrees((-{_E} + (gx + 0.5::DOUBLE) * {_RES_M}) / 6378137.0) AS lon, degrees(2 * atan(exp((-{_E} + (gy + 0.5::DOUBLE) * {_RES_M}) / 6378137.0)) - pi() / 2) AS lat FROM cy)
+SELECT zoom, gx, gy, elev_m AS v FROM ll JOIN dem ON col = CAST(floor((lon + 10.0) / 0.0625) AS BIGINT) AND row = CAST(floor((45.0 - lat) / 0.0625) AS BIGINT)"""
+
+
 def _corners_cols():
     pts = {"ll": ("minx", "miny"), "lr": ("maxx", "miny"), "ur": ("maxx", "maxy"), "ul": ("minx", "maxy")}
     return ", ".join(f"{v} AS {k}_{a}" for k, p in pts.items() for a, v in zip("xy", p))
@@ -120,7 +157,13 @@ PIXELS = "(SELECT CAST(p_size % 12 AS INTEGER) AS zoom, p_partkey * 37 % 100000
 FLAGS = "(SELECT p_partkey AS id, CAST(p_size % 16 AS INTEGER) AS children, CASE WHEN p_size % 3 = 2 THEN repeat('0001', 8) WHEN p_size % 2 = 1 THEN '01' ELSE '00' END AS mask, CAST(CASE p_size % 3 WHEN 0 THEN 8452 WHEN 1 THEN 73987 ELSE 8451 END AS BIGINT) AS n_bytes FROM part)"
 PATH = "zoom::VARCHAR || '/' || tx::VARCHAR || '/' || ty::VARCHAR || '.terrain'"
 _RING = ", ".join(["[%.15e, %.15e]"] * 5)
-_FEATURE = "printf('{ \"type\": \"Feature\", \"geometry\": { \"type\": \"Polygon\", \"coordinates\": [[" + _RING + "]]}, \"properties\": {\"tx\": %d, \"ty\": %d}}', " + ", ".join([_B[0], _B[1], _B[2], _B[1], _B[2], _B[3], _B[0], _B[3], _B[0], _B[1]]) + ", tx, ty)"
+
+
+def _feature(b):
+    return "printf('{ \"type\": \"Feature\", \"geometry\": { \"type\": \"Polygon\", \"coordinates\": [[" + _RING + "]]}, \"properties\": {\"tx\": %d, \"ty\": %d}}', " + ", ".join([b[0], b[1], b[2], b[1], b[2], b[3], b[0], b[3], b[0], b[1]]) + ", tx, ty)"
+
+
+_FEATURE = _feature(_B)
 _TERR_RES = f"(({_B[2]} - {_B[0]}) / 64.0::DOUBLE)"
 _QUADS = {"sw": ("minx", "miny", "mx", "my"), "se": ("mx", "miny", "maxx", "my"), "nw": ("minx", "my", "mx", "maxy"), "ne": ("mx", "my", "maxx", "maxy")}
 _BITS = {"sw": 1, "se": 2, "nw": 4, "ne": 8}
@@ -155,6 +198,14 @@ def oracle(resolutions) -> dict[str, str]:
         "tiler_tile_bounds": f"WITH {LEVELS} SELECT zoom, x0 AS minx, y0 AS miny, x1 AS maxx, y1 AS maxy FROM lv",
         "tiler_max_zoom": f"SELECT CAST(ceil(log2({R0!r}::DOUBLE * 16)) AS INTEGER) AS max_zoom",
         "bounds_reproject": f"WITH {POINTS}, m AS (SELECT radians(lon) * 6378137.0 AS x, ln(tan(radians(lat) / 2 + pi() / 4)) * 6378137.0 AS y FROM pts WHERE abs(lat) < 85) SELECT round(min(x), 3) AS minx, round(min(y), 3) AS miny, round(max(x), 3) AS maxx, round(max(y), 3) AS maxy FROM m",
+        "tiler_bounds_mercator": f"WITH {LEVELS_M} SELECT round(minx, 3) AS minx, round(miny, 3) AS miny, round(maxx, 3) AS maxx, round(maxy, 3) AS maxy FROM meta",
+        "tiler_max_zoom_mercator": f"WITH {LEVELS_M} SELECT CAST(ceil(log2({MERC_R0!r}::DOUBLE / ((maxx - minx) / 150))) AS INTEGER) AS max_zoom FROM meta",
+        "tiler_tile_bounds_mercator": f"WITH {LEVELS_M} SELECT zoom, x0 AS minx, y0 AS miny, x1 AS maxx, y1 AS maxy FROM lv",
+        "extents_mercator": f"WITH {KEYS_M} SELECT zoom, tx, ty, {_feature(_BM)} AS feature FROM keys",
+        "terrain_children_mercator": f"WITH {CHILDREN_M}",
+        "resample_average_mercator": f"WITH {_spread_m()} SELECT zoom, gx, gy, sum(v) / count(*) AS v FROM spread GROUP BY zoom, gx, gy",
+        "resample_nearest_mercator": f"WITH {NEAREST_M}",
+        "resample_max_pyramid": area("max(v)"),
         "tile_geotransform": f"WITH {KEYS} SELECT zoom, tx, ty, {_B[0]} AS gt0, {res()} AS gt1, 0.0::DOUBLE AS gt2, {_B[3]} AS gt3, 0.0::DOUBLE AS gt4, -{res()} AS gt5 FROM keys",
         "terrain_tile_bounds": f"WITH {KEYS} SELECT zoom, tx, ty, {_TERR_RES} AS res, {_B[0]} - {_TERR_RES} AS minx, {_B[1]} AS miny, {_B[2]} AS maxx, {_B[3]} + {_TERR_RES} AS maxy FROM keys",
         "terrain_geotransform": f"WITH {KEYS} SELECT zoom, tx, ty, {_B[0]} AS gt0, {_TERR_RES} AS gt1, 0.0::DOUBLE AS gt2, {_B[3]} AS gt3, 0.0::DOUBLE AS gt4, -{_TERR_RES} AS gt5 FROM keys",

@@ -168,6 +168,48 @@ def bounds_reproject(spark, d):
     return p.agg(*(F.round(a, 3).alias(n) for n, a in zip(BOX, (F.min(x), F.min(y), F.max(x), F.max(y)))))
 
 
+# a raster in degrees on the mercator grid
+
+
+@query
+def tiler_bounds_mercator(spark, d):
+    return spark.createDataFrame([S.dem_meta(spark, d).bounds_on(MERC)], "minx double, miny double, maxx double, maxy double").select(*(F.round(c, 3).alias(c) for c in BOX))
+
+
+@query
+def tiler_max_zoom_mercator(spark, d):
+    return spark.createDataFrame([(S.dem_meta(spark, d).max_zoom(MERC),)], "max_zoom int")
+
+
+@query
+def tiler_tile_bounds_mercator(spark, d):
+    r = E.raster_ranges(spark, MERC, S.dem_meta(spark, d))
+    return r.select("zoom", *(F.col(a).alias(b) for a, b in zip(("x0", "y0", "x1", "y1"), BOX)))
+
+
+@query
+def extents_mercator(spark, d):
+    return build.extents(spark, S.dem_meta(spark, d), "mercator")
+
+
+@query
+def terrain_children_mercator(spark, d):
+    m = S.dem_meta(spark, d)
+    return E.keys(E.raster_ranges(spark, MERC, m)).select("zoom", "tx", "ty", terrain.children(MERC, m, _z(), F.col("tx"), F.col("ty")).alias("children"))
+
+
+@query
+def resample_average_mercator(spark, d):
+    p, m = _dem(spark, d)
+    return R.area(p, m, MERC, list(range(m.max_zoom(MERC) + 1)), terrain=False).select("zoom", "gx", "gy", "v")
+
+
+@query
+def resample_nearest_mercator(spark, d):
+    p, m = _dem(spark, d)
+    return R.point(p, m, MERC, list(range(m.max_zoom(MERC) + 1)), terrain=False).select("zoom", "gx", "gy", "v")
+
+
 @query
 def tile_geotransform(spark, d):
     return _keys(spark, d).select("zoom", "tx", "ty", *_named(GT, sinks.geotransform(GEO, _z(), F.col("tx"), F.col("ty"))))
@@ -285,6 +327,13 @@ for _m in R.POINT:
     _point(_m)
 
 
+@query
+def resample_max_pyramid(spark, d):
+    """Each level from the one above; extremes are the same as from the pixels."""
+    p, m = _dem(spark, d)
+    return R.area(p, m, GEO, list(range(m.max_zoom(GEO) + 1)), "max", pyramid=True).select("zoom", "gx", "gy", F.col("v").cast("long").alias("v"))
+
+
 @query
 def terrain_quantise(spark, d):
     return QUERIES["resample_average"](spark, d).select("zoom", "gx", "gy", codec.quantise(F.col("v")).alias("h"))
