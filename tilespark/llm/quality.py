@@ -91,7 +91,7 @@ def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     counted = texts.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    return counted.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
 
 
 def _count(shared):
@@ -220,13 +220,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         places = _Places(words)
         return lambda texts: [[pool(places(t), vectors).tolist() for t in texts]]
 
-    got = rows.select("_id", "_y", per_text(make, "x array<float>")(F.col("_text"))["x"].alias("x")).toPandas()
+    got = rows.select("_id", "_y", per_text(make, "x array<float>")(F.col("_text"))["x"].alias("x")).toArrow().sort_by("_id")
     discard(rows)
-    got = got.sort_values("_id")
     y = (got["_y"].to_numpy() >= 0.5).astype(float)
     if len(got):
-        x = np.array(got["x"].tolist(), np.float64)
-        calibrate = np.array([zlib.crc32(f"t{i}".encode()) % 5 == 0 for i in got["_id"]])
+        x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(got), -1).astype(np.float64)
+        calibrate = np.array([zlib.crc32(f"t{i}".encode()) % 5 == 0 for i in got["_id"].to_pylist()])
         model["network"] = Network(x, y, calibrate)
     return model
 
