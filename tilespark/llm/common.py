@@ -18,13 +18,27 @@ def tidy() -> None:
         pass
 
 
+_held: list = []
+
+
+def hold(clear) -> None:
+    """Register what empties a table that outlives a task of its operator."""
+    _held.append(clear)
+
+
+def release() -> None:
+    """Empty such tables: another operator's task begins in this Python worker."""
+    for clear in _held:
+        clear()
+
+
 def per_text(make, schema: str, columns: int = 1):
     """An Arrow UDF over texts: ``make()`` runs once per task and returns ``f``.
 
     ``f(texts)`` gets a batch of texts (null becomes empty) and returns one
     list per field of ``schema``. With ``columns > 1`` it gets one list per
-    argument column, where only the first is a text. A function ``f.forget``, if
-    there is one, is called at the end of the task.
+    argument column, where only the first is a text. Tables that other operators
+    hold in the worker are emptied, unless ``make.holds`` says that they are its own.
     """
     fields = [to_arrow_type(x.dataType) for x in T.StructType.fromDDL(schema)]
     names = T.StructType.fromDDL(schema).names
@@ -34,24 +48,25 @@ def per_text(make, schema: str, columns: int = 1):
         cols = f(first, *(a.to_pylist() for a in args[1:]))
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, fields)], names=names)
 
-    def end(f):
-        getattr(f, "forget", lambda: None)()
-        tidy()
+    def begin():
+        if not getattr(make, "holds", False):
+            release()
+        return make()
 
     if columns == 1:
 
         def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            f = make()
+            f = begin()
             for a in it:
                 yield apply(f, (a,))
-            end(f)
+            tidy()
     else:
 
         def run(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-            f = make()
+            f = begin()
             for a in it:
                 yield apply(f, a)
-            end(f)
+            tidy()
 
     return F.arrow_udf(schema)(run)
 

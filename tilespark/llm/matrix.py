@@ -177,7 +177,6 @@ def write_matrix(docs: DataFrame, target: str, id_col: str = "doc_id", text_col:
             if block:
                 yield flush()
             files.commit()
-        encode.forget()
         tidy()
 
     return own.mapInArrow(run, ddl)

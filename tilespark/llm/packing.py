@@ -181,7 +181,6 @@ def pack(
             for w in packer.finish():
                 yield from rows.put(w, final=not w.room)
             yield from rows.take()
-        encode.forget()
         tidy()
 
     packed = materialise(own.mapInArrow(first, ddl).withColumn("_group", F.when(F.col("sequence_id").isNull(), F.floor(F.spark_partition_id() / merge_partitions)).cast("long")).withColumn("_from", F.when(F.col("sequence_id").isNull(), F.spark_partition_id())), "packed")

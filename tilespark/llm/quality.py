@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import fresh, per_text, tidy
+from tilespark.llm.common import fresh, per_text, release, tidy
 from tilespark.llm.sums import DDL, collect_sum, to_blocks
 from tilespark.session import discard, materialise, ship
 
@@ -77,6 +77,7 @@ def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         found: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -98,6 +99,7 @@ def _count(shared):
     """Context vectors and word counts of a partition: a flat table of DIMS + 1 columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words = shared.value
         at, sign = index_vectors(words)
         places, size = _Places(words), len(at)

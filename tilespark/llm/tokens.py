@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import per_text
+from tilespark.llm.common import hold, per_text
 from tilespark.llm.merges import LONGEST, Merges
 from tilespark.session import ship
 
 #: Units kept per task; beyond it the table starts anew, which costs time only.
-UNITS_KEPT = 200_000
+UNITS_KEPT = 300_000
 
 #: Signs that end a word and are pre-tokens of their own after letters.
 _ENDS = frozenset(".,;:!?")
@@ -75,10 +75,11 @@ class _Units:
 
     def __init__(self, path: str):
         self.tok, self.merges, self.seen, self.pieces = _load(path), Merges(path, _byte_chars()), {}, {}
+        hold(self.forget)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def forget(self) -> None:
-        """Empty the tables at the end of a task: the worker lives on for other stages."""
+        """Empty the tables: they outlive a task, but not the operator's stage."""
         self.seen.clear()
         self.pieces.clear()
 
@@ -266,12 +267,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         count = byte_counter(file, whole.value)
+        return lambda texts: [count(texts)]
 
-        def batch(texts):
-            return [count(texts)]
-
-        batch.forget = count.forget
-        return batch
+    make.holds = True
 
     n = per_text(make, "n_tokens long")(F.col(text_col))["n_tokens"]
     out = docs.select(F.col(id_col), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), n.alias("n_tokens"))
