@@ -209,6 +209,18 @@ class WordEncoder(_Units):
         self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.plain = re.compile("[\x21-\x7e\xa1-\xac\xae-\u024f]+")
 
+    def _learn_all(self, units: set) -> None:
+        """Units of plain letters are one pre-token each; the others are split first."""
+        pieces, seen = self.pieces, self.seen
+        if len(pieces) >= UNITS_KEPT:
+            pieces.clear()
+        letters = {u: u.lower() for u in units if u.isascii() and u.isalpha() and len(u) <= LONGEST}
+        new = [p for p in set(letters.values()) if p not in pieces]
+        if new:
+            self._merged(new, [p.encode() for p in new])
+        seen.update((u, pieces[p]) for u, p in letters.items())
+        super()._learn_all(units.difference(letters))
+
     def _pre_tokens(self, unit: str) -> list | None:
         if not unit:
             return []
