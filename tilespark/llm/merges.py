@@ -69,25 +69,24 @@ class Merges:
     def encode(self, strings: list, only_count: bool = False) -> list:
         """Ids of each string (bytes, 1 to LONGEST of them) as little-endian 32-bit bytes, or their number."""
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-        data = np.frombuffer(b"".join(strings), np.uint8)
-        starts = np.cumsum(lengths) - lengths
-        out: list = [None] * len(strings)
-        low = 0
+        flat, counts = self.spans(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        return counts.tolist() if only_count else cut_at(flat, counts)
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        """Ids of the strings at ``starts`` of ``data`` (1 to LONGEST bytes each), one after the other, and their numbers."""
+        counts, done, low = np.zeros(len(starts), np.int64), [], 0
         for high in _GROUPS:
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
             for part in np.array_split(rows, max(1, len(rows) // 16384)):
                 if len(part):
-                    ids, counts = self._merge(data, starts[part], lengths[part], high)
-                    if only_count:
-                        for i, c in zip(part.tolist(), counts.tolist()):
-                            out[i] = c
-                        continue
-                    ends = np.cumsum(counts) * 4
-                    flat = ids[np.arange(high)[None, :] < counts[:, None]].astype("<u4").tobytes()
-                    for i, a, b in zip(part.tolist(), (ends - 4 * counts).tolist(), ends.tolist()):
-                        out[i] = flat[a:b]
+                    ids, counts[part] = self._merge(data, starts[part], lengths[part], high)
+                    used = np.arange(high)[None, :] < counts[part][:, None]
+                    done.append((part, used, ids[used]))
             low = high
-        return out
+        flat, begin = np.empty(counts.sum(), "<u4"), np.cumsum(counts) - counts
+        for part, used, ids in done:
+            flat[(begin[part][:, None] + np.arange(used.shape[1])[None, :])[used]] = ids
+        return flat, counts
 
     def _merge(self, data, starts, lengths, width):
         cols = np.arange(width)
@@ -128,3 +127,9 @@ class Merges:
             ranks[at_j] = new[: len(j)]
             ranks[at_j[has] - 1] = new[len(j) :]
         return sym, counts
+
+
+def cut_at(flat: np.ndarray, counts: np.ndarray) -> list:
+    """The bytes of ``flat`` cut into runs of ``counts`` ids."""
+    data, ends = flat.tobytes(), np.cumsum(counts) * 4
+    return [data[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist())]

@@ -2,8 +2,8 @@
 
 A text is cut at places where the tokenizer always cuts too (before a space that
 is followed by a non-space; for the word vocabulary at any white space), so each
-unit can be handled alone. Each different unit is worked out once per task and
-kept in a bounded table.
+unit can be handled alone. Each different unit is worked out once and kept in a table
+of bounded size: a younger half takes what is met, an older one what was met before.
 
 Byte-level vocabulary: :func:`prove_whole_tokens` finds offline which vocabulary
 strings encode alone as one token. A pre-token that is such a string counts one
@@ -17,6 +17,7 @@ null ids give one output row each; only the named columns are read.
 import functools
 import gc
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.llm.common import hold, per_text
-from tilespark.llm.merges import LONGEST, Merges
+from tilespark.llm.merges import LONGEST, Merges, cut_at
 from tilespark.session import ship
 
-#: Units kept per task; beyond it the table starts anew, which costs time only.
+#: Units kept in a worker; those not met for long are forgotten, which costs time only.
 UNITS_KEPT = 300_000
 
 #: Signs that end a word and are pre-tokens of their own after letters.
@@ -37,6 +38,24 @@ _ENDS = frozenset(".,;:!?")
 BYTE_FILE, WORD_FILE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+#: Kinds of a sign in the word vocabulary's splitting rule: runs of letters, single numbers, runs of others.
+_GAP, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _simple_signs():
+    """Kind by code point, and the signs of plain Latin that lower-case to one of them.
+
+    The apostrophe (contractions) and the bar (special strings) are left to the general way.
+    """
+    kinds, simple = np.zeros(0x250, np.uint8), []
+    for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x250))):
+        kind = {"L": _LETTER, "N": _NUMBER, "C": _GAP}.get(unicodedata.category(c)[0], _OTHER)
+        kinds[ord(c)] = kind
+        if kind and c not in "'|" and len(c.lower()) == 1 and ord(c.lower()) < 0x250 and unicodedata.is_normalized("NFC", c):
+            simple.append(c)
+    return kinds, "".join(simple)
+
+
 def _load(path: str):
     from tokenizers import Tokenizer
 
@@ -74,15 +93,28 @@ class _Units:
     """Works out each different unit of a batch once; ``seen`` keeps the results."""
 
     def __init__(self, path: str):
-        self.tok, self.merges, self.seen, self.pieces = _load(path), Merges(path, _byte_chars()), {}, {}
+        self.tok, self.merges, self.seen, self.old, self.pieces = _load(path), Merges(path, _byte_chars()), {}, {}, {}
         hold(self.forget)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def forget(self) -> None:
         """Empty the tables: they outlive a task, but not the operator's stage."""
         self.seen.clear()
+        self.old.clear()
         self.pieces.clear()
 
+    def _have(self, units: set) -> None:
+        """Let ``seen`` hold all of ``units``: from the older half of the table, or learned."""
+        new = units.difference(self.seen)
+        if len(self.seen) + len(new) > UNITS_KEPT // 2:
+            self.old, self.seen, new = self.seen, {}, units
+        if new and self.old:
+            known = {u: self.old[u] for u in new if u in self.old}
+            self.seen.update(known)
+            new = new.difference(known)
+        if new:
+            self._learn(new)
+
     def _learn(self, units: set) -> None:
         """Fill ``seen`` for the new units; equal pre-tokens are merged once."""
         gc.disable()  # hundreds of thousands of small lists, no cycles
@@ -184,12 +216,7 @@ class ByteCounter(_Units):
                 plain.append(t)
                 owner.append(i)
         cut = [self._split(t) for t in plain]
-        new = {u for u in set().union(*(rest for _, rest in cut)) if u not in self.seen}
-        if new:
-            if len(self.seen) + len(new) > UNITS_KEPT:
-                new = set().union(*(rest for _, rest in cut))
-                self.seen.clear()
-            self._learn(new)
+        self._have(set().union(*(rest for _, rest in cut)))
         get = self.seen.__getitem__
         for i, (first, rest) in zip(owner, cut):
             n[i] += (self._alone(first) if first else 0) + sum(map(get, rest))
@@ -201,25 +228,49 @@ class WordEncoder(_Units):
 
     White space only separates there, so units between spaces, tabs and line
     ends are independent. Units of plain Latin letters and signs are split and
-    merged here; any others are encoded by the library, once each.
+    merged here, most of them as arrays; any others are encoded by the library, once each.
     """
 
     def __init__(self, path: str | None = None):
         super().__init__(path or public_tokenizers.path(WORD_FILE))
         self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.plain = re.compile("[\x21-\x7e\xa1-\xac\xae-\u024f]+")
+        self.kinds, simple = _simple_signs()
+        self.simple = re.compile(f"[{re.escape(simple)}]*")
 
     def _learn_all(self, units: set) -> None:
-        """Units of plain letters are one pre-token each; the others are split first."""
-        pieces, seen = self.pieces, self.seen
-        if len(pieces) >= UNITS_KEPT:
-            pieces.clear()
-        letters = {u: u.lower() for u in units if u.isascii() and u.isalpha() and len(u) <= LONGEST}
-        new = [p for p in set(letters.values()) if p not in pieces]
-        if new:
-            self._merged(new, [p.encode() for p in new])
-        seen.update((u, pieces[p]) for u, p in letters.items())
-        super()._learn_all(units.difference(letters))
+        """Units of simple signs are split and merged as arrays; the others one by one."""
+        simple = list(units)
+        if not self.simple.fullmatch("".join(simple)):
+            simple = [u for u in simple if self.simple.fullmatch(u)]
+        simple = self._learn_simple(simple)
+        if len(simple) < len(units):
+            super()._learn_all(units.difference(simple))
+
+    def _learn_simple(self, units: list) -> list:
+        """Learn the units of simple signs whose pre-tokens aren't too long; returns those learned."""
+        if not units:
+            return units
+        text = "\n".join(units).lower() + "\n"
+        points = np.frombuffer(text.encode("utf-16-le"), "<u2")
+        kind = self.kinds[points]
+        gap = kind == _GAP
+        begin = ~gap
+        begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+        edges = np.flatnonzero(begin | gap)
+        piece = np.flatnonzero(begin[edges])
+        width = 1 + (points >= 0x80)
+        at = np.cumsum(width) - width
+        starts = at[edges[piece]]
+        lengths = at[edges[piece + 1]] - starts
+        owner = np.cumsum(gap)[edges[piece]]
+        if len(lengths) and lengths.max() > LONGEST:
+            far = set(owner[lengths > LONGEST].tolist())
+            return self._learn_simple([u for i, u in enumerate(units) if i not in far])
+        flat, counts = self.merges.spans(np.frombuffer(text.encode(), np.uint8), starts, lengths)
+        totals = np.bincount(owner, counts, len(units)).astype(np.int64)
+        self.seen.update(zip(units, cut_at(flat, totals)))
+        return units
 
     def _pre_tokens(self, unit: str) -> list | None:
         if not unit:
@@ -244,12 +295,7 @@ class WordEncoder(_Units):
 
     def __call__(self, texts: list) -> list:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {u for u in set().union(*cut) if u not in self.seen}
-        if new:
-            if len(self.seen) + len(new) > UNITS_KEPT:
-                new = set().union(*cut)
-                self.seen.clear()
-            self._learn(new)
+        self._have(set().union(*cut))
         get = self.seen.__getitem__
         return [b"".join(map(get, units)) for units in cut]
 
