@@ -46,6 +46,8 @@ def _spread(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], t
     east, north = reproject(meta.epsg, grid.epsg, x(F.col("col") + 1), y(F.col("row")))
     band = F.col("band") if "band" in pixels.columns else F.lit(1)
     own = pixels.filter(F.col(value).isNotNull()).select(band.alias("band"), F.col(value).alias("v"), west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"), _zooms(grid, zooms, terrain).alias("z"))
+    if meta.requires_reprojection(grid):
+        own = own.filter(F.col("s").isNotNull() & F.col("n").isNotNull())  # pixels at or beyond a pole have no place on the plane
     slack = SLIVER if meta.requires_reprojection(grid) else 0.0  # edges that fall on cell borders only up to rounding
 
     def cell(lo, hi, half):

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,12 @@ class RasterMeta:
         return self.epsg != grid.epsg
 
     def bounds_on(self, grid: Grid) -> tuple[float, float, float, float]:
-        """The box of the four corners in the grid's reference system."""
+        """The box of the four corners in the grid's reference system; beyond a pole it ends at the grid's edge."""
         minx, miny, maxx, maxy = self.bounds
         if not self.requires_reprojection(grid):
             return minx, miny, maxx, maxy
-        corners = [project(self.epsg, grid.epsg, x, y) for x in (minx, maxx) for y in (miny, maxy)]
+        edges = ((miny, grid.miny), (maxy, grid.maxy))
+        corners = [(c[0], edge if math.isnan(c[1]) else c[1]) for x in (minx, maxx) for y, edge in edges for c in (project(self.epsg, grid.epsg, x, y),)]
         xs, ys = zip(*corners)
         return min(xs), min(ys), max(xs), max(ys)
 
