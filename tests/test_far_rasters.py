@@ -63,7 +63,7 @@ def test_average_mercator_leaves_out_pixels_without_a_place(spark, tmp_path, far
     assert QUERIES["resample_average_mercator"](spark, far_dir).count() > 0
 
 
-@pytest.mark.parametrize("name", ["terrain_decode_raw", "terrain_encode", "terrain_encode_raw", "terrain_export", "terrain_empty", "terrain_tiles"])
+@pytest.mark.parametrize("name", ["terrain_decode", "terrain_decode_raw", "terrain_encode", "terrain_encode_raw", "terrain_export", "terrain_empty", "terrain_tiles"])
 def test_tiles_below_the_grid(spark, far_dir, name):
     same_as_sql(spark, far_dir, name)
 

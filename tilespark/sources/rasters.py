@@ -129,7 +129,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, RasterMe
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """Height-tile files below ``path`` ({zoom}/{x}/{y}.terrain): key and file bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.terrain").load(path)
-    key = lambda i: F.regexp_extract("path", r"(\d+)/(\d+)/(\d+)\.terrain$", i)
+    key = lambda i: F.regexp_extract("path", r"(\d+)/(-?\d+)/(-?\d+)\.terrain$", i)
     return files.select(key(1).cast("int").alias("zoom"), key(2).cast("long").alias("tx"), key(3).cast("long").alias("ty"), "content")
 
 

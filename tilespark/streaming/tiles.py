@@ -13,7 +13,7 @@ _FILE = "path string, modificationTime timestamp, length long, content binary"
 def tile_stream(spark: SparkSession, path: str) -> DataFrame:
     """Decoded tiles of new ``.terrain`` files below ``path``."""
     files = spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.terrain").load(path)
-    key = lambda i: F.regexp_extract("path", r"(\d+)/(\d+)/(\d+)\.terrain$", i)
+    key = lambda i: F.regexp_extract("path", r"(\d+)/(-?\d+)/(-?\d+)\.terrain$", i)
     return decode_tiles(files.select(key(1).cast("int").alias("zoom"), key(2).cast("long").alias("tx"), key(3).cast("long").alias("ty"), "content"))
 
 
