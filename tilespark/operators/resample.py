@@ -4,16 +4,21 @@ At zoom z the cells of all tiles form one lattice of pitch P(z). A pixel is
 listed in the cells it overlaps, and one partially aggregated group-by gives every
 cell of every zoom: no tile reads the raster on its own and no range join is
 needed. Sampling methods go the other way, from cell centres to the pixels
-around them by an equi-join.
+around them, in blocks of pixels.
 """
 
 from __future__ import annotations
 
+import math
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilespark.functions.grid import Grid, reproject
-from tilespark.operators.enumerate import spread
+from tilespark.functions.grid import Grid, project_axes, reproject
+from tilespark.session import ship
 from tilespark.sources.rasters import RasterMeta
 
 #: Overlap, in cells, that counts as none between reprojected pixels and cells.
@@ -108,27 +113,117 @@ def rollup(cells: DataFrame) -> DataFrame:
     return cells.select("band", (F.col("zoom") - 1).alias("zoom"), half("gx"), half("gy"), "n", "s", "lo", "hi").groupBy("band", "zoom", "gx", "gy").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _weight(method: str, t: Column) -> Column:
-    a = F.abs(t)
+def _weight(method: str, t: np.ndarray) -> np.ndarray:
+    a = np.abs(t)
     if method == "bilinear":
-        return F.greatest(F.lit(0.0), 1 - a)
+        return np.maximum(0.0, 1 - a)
     if method == "cubic":
-        return F.when(a <= 1, (1.5 * a - 2.5) * a * a + 1).when(a < 2, ((-0.5 * a + 2.5) * a - 4) * a + 2).otherwise(0.0)
+        return np.where(a <= 1, (1.5 * a - 2.5) * a * a + 1, np.where(a < 2, ((-0.5 * a + 2.5) * a - 4) * a + 2, 0.0))
     if method == "cubicspline":
-        return F.when(a <= 1, 2 / 3 - a * a + a * a * a / 2).when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6).otherwise(0.0)
-    import math
+        return np.where(a <= 1, 2 / 3 - a * a + a * a * a / 2, np.where(a < 2, (2 - a) * (2 - a) * (2 - a) / 6, 0.0))
+    p = np.where(a < 1e-12, 1.0, t) * math.pi
+    sin = lambda x: np.fromiter(map(math.sin, x), float, len(x))  # noqa: E731 - the C library's; NumPy's own differs in the last bit
+    return np.where(a < 1e-12, 1.0, np.where(a < 3, sin(p) / p * sin(p / 3) / (p / 3), 0.0))
+
+
+#: First and last pixel of a kernel, from the one at or before the centre.
+REACH = {"nearest": (0, 0), "bilinear": (0, 1), "cubic": (-1, 2), "cubicspline": (-1, 2), "lanczos": (-2, 3)}
+#: Pixels on a side of the blocks in which centres are sampled, and cells that are sampled at once.
+BLOCK, AT_ONCE = 256, 1 << 16
+
+
+def _blocks(batches):
+    """(key, table) for each run of rows with the same first three columns."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            key = tuple(keys[:, start].tolist())
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(b.slice(start, end - start))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _axis(meta: RasterMeta, grid: Grid, level: tuple, block: int, method: str, vertical: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Lattice numbers whose centre lies in a block's columns (or rows), and the centres in pixels."""
+    _, p, x0, x1, y0, y1 = level
+    first, last, half, n = (y0, y1, grid.half_y, meta.n_rows) if vertical else (x0, x1, grid.half_x, meta.n_cols)
+    edges = np.array([block * BLOCK - 1.0, (block + 1) * BLOCK + 1.0])
+    place = meta.y0 - edges * meta.dy if vertical else meta.x0 + edges * meta.dx
+    if vertical and (meta.epsg, grid.epsg) == (4326, 3857):
+        place = np.clip(place, -90 + 1e-9, 90 - 1e-9)
+    place = np.sort(project_axes(meta.epsg, grid.epsg, place, place)[vertical])
+    low, high = (np.floor((place + half) / p) + (-1, 1)).tolist()
+    g = np.arange(max(first, low), min(last, high) + 1).astype(np.int64)
+    centre = -half + (g + 0.5) * p
+    at = project_axes(grid.epsg, meta.epsg, centre, centre)[vertical]
+    at = (meta.y0 - at) / meta.dy - 0.5 if vertical else (at - meta.x0) / meta.dx - 0.5
+    own = np.maximum(np.floor(at + 0.5 if method == "nearest" else at), 0) // BLOCK == block
+    own &= (at >= -0.5) & (at < n - 0.5)
+    return g[own], at[own]
+
 
-    p = t * math.pi
-    return F.when(a < 1e-12, 1.0).when(a < 3, F.sin(p) / p * F.sin(p / 3) / (p / 3)).otherwise(0.0)
+def _sample(meta: RasterMeta, grid: Grid, levels: list, method: str, bx: int, by: int, col: np.ndarray, row: np.ndarray, value: pa.Array):
+    """Cells (zoom, gx, gy, v) whose centres lie in a block, from its pixels and their rim; v is an Arrow array."""
+    lo, hi = REACH[method]
+    left, top, side = bx * BLOCK - 1 + lo, by * BLOCK - 1 + lo, BLOCK + 1 + hi - lo
+    col, row = col - left, row - top
+    place = np.where((col >= 0) & (col < side) & (row >= 0) & (row < side), row * side + col, side * side)  # the last place is nobody's
+    counts = np.bincount(place, minlength=side * side + 1)[:-1]
+    if method == "nearest":
+        order, starts = np.argsort(place, kind="stable"), np.cumsum(counts) - counts
+    else:
+        there = counts.reshape(side, side).astype(float)
+        sums = np.bincount(place, value.to_numpy(zero_copy_only=False), side * side + 1)[:-1].reshape(side, side)
+
+    def weighted(u, v):  # sums of weight times value, and of weights, for the centres of rows v and columns u
+        c, r = np.floor(u).astype(np.int64), np.floor(v).astype(np.int64)
+        s, w = np.zeros((len(v), len(u))), np.zeros((len(v), len(u)))
+        for i in range(lo, hi + 1):
+            wx, wide, wide_there = _weight(method, u - (c + i)), sums[:, c + i - left], there[:, c + i - left]
+            for j in range(lo, hi + 1):
+                own = wx * _weight(method, v - (r + j))[:, None]
+                s += own * wide[r + j - top]
+                w += own * wide_there[r + j - top]
+        return s.ravel(), w.ravel()
+
+    for level in levels:
+        (gx, u), (gy, v) = (_axis(meta, grid, level, b, method, vertical) for b, vertical in ((bx, False), (by, True)))
+        for i in range(0, len(gx), AT_ONCE):
+            x, ux = gx[i : i + AT_ONCE], u[i : i + AT_ONCE]
+            step = max(1, AT_ONCE // len(x))
+            for j in range(0, len(gy), step):
+                y, vy = gy[j : j + step], v[j : j + step]
+                xs, ys = np.tile(x, len(y)), np.repeat(y, len(x))
+                if method == "nearest":
+                    c, r = np.floor(ux + 0.5).astype(np.int64) - left, np.floor(vy + 0.5).astype(np.int64) - top
+                    at = (r[:, None] * side + c).ravel()
+                    n = counts[at]
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    yield level[0], np.repeat(xs, n), np.repeat(ys, n), value.take(pa.array(order[np.repeat(starts[at], n) + nth]))
+                else:
+                    s, w = weighted(ux, vy)
+                    some = np.abs(w) > 1e-12
+                    yield level[0], xs[some], ys[some], pa.array(s[some] / w[some])
 
 
 def point(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], method: str = "nearest", terrain: bool = True, value: str = "value", only=None) -> DataFrame:
     """Cells (band, zoom, gx, gy, v) sampled at their centres; weights are renewed over the pixels there are.
 
     Centres are carried into the raster's reference system where it differs from the grid's.
+    Pixels are dealt in square blocks with the rim that the kernel needs; a task holds one
+    block at a time and lists the centres in it by arithmetic, so cells are neither joined nor shuffled.
     """
     check(method)
     spark = pixels.sparkSession
+    ship(spark)
     minx, miny, maxx, maxy = meta.bounds_on(grid)
     levels = []
     for z in zooms:
@@ -136,27 +231,34 @@ def point(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], met
         fx = lambda x: int((x + grid.half_x) // p)  # noqa: E731, B023
         fy = lambda y: int((y + grid.half_y) // p)  # noqa: E731, B023
         levels.append((z, p, fx(minx), fx(maxx), fy(miny), fy(maxy)))
-    cells = spark.createDataFrame(levels, "zoom int, p double, x0 long, x1 long, y0 long, y1 long")
-    n = sum((x1 - x0 + 1) * (y1 - y0 + 1) for _, _, x0, x1, y0, y1 in levels)
-    cells = spread(cells.select("zoom", "p", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("gx")), n, "zoom", "gx").select("zoom", "p", "gx", F.explode(F.sequence("y0", "y1")).alias("gy"))
-    x, y = F.lit(-grid.half_x) + (F.col("gx") + 0.5) * F.col("p"), F.lit(-grid.half_y) + (F.col("gy") + 0.5) * F.col("p")
-    cells = cells if only is None else only(cells)
-    x, y = reproject(grid.epsg, meta.epsg, x, y)
-    u, v = (x - meta.x0) / meta.dx - 0.5, (meta.y0 - y) / meta.dy - 0.5
-    inside = (F.col("u") >= -0.5) & (F.col("u") < meta.n_cols - 0.5) & (F.col("v") >= -0.5) & (F.col("v") < meta.n_rows - 0.5)
-    at = cells.select("zoom", "gx", "gy", u.alias("u"), v.alias("v")).filter(inside)
+    lo, hi = REACH[method]
+
+    def blocks(c, n):
+        block = lambda v: F.floor(F.greatest(v, F.lit(0)) / BLOCK).cast("long")
+        first, last = block(F.col(c) - hi), F.least(block(F.col(c) - lo), F.lit(max(0, n - 1) // BLOCK))
+        return F.explode(F.sequence(first, F.greatest(first, last)))
+
     band = F.col("band") if "band" in pixels.columns else F.lit(1)
-    source = pixels.filter(F.col(value).isNotNull()).select(band.alias("band"), "col", "row", F.col(value).alias("value"))
-    if method == "nearest":
-        return at.select("zoom", "gx", "gy", F.floor(F.col("u") + 0.5).alias("col"), F.floor(F.col("v") + 0.5).alias("row")).join(source, ["col", "row"]).select("band", "zoom", "gx", "gy", F.col("value").alias("v"))
-    reach = {"bilinear": (0, 1), "cubic": (-1, 2), "cubicspline": (-1, 2), "lanczos": (-2, 3)}[method]
-    near = F.explode(F.sequence(F.lit(reach[0]), F.lit(reach[1])))
-    wide = at.withColumn("i", near).withColumn("j", near)
-    wide = wide.withColumn("col", F.floor("u") + F.col("i")).withColumn("row", F.floor("v") + F.col("j"))
-    wide = wide.withColumn("w", _weight(method, F.col("u") - F.col("col")) * _weight(method, F.col("v") - F.col("row")))
-    joined = wide.select("zoom", "gx", "gy", "col", "row", "w").join(source, ["col", "row"])
-    out = joined.groupBy("band", "zoom", "gx", "gy").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"))
-    return out.filter(F.abs("w") > 1e-12).select("band", "zoom", "gx", "gy", (F.col("s") / F.col("w")).alias("v"))
+    v = F.col(value) if method == "nearest" else F.col(value).cast("double")
+    source = pixels.filter(F.col(value).isNotNull()).select(band.alias("band"), F.col("col").cast("long"), F.col("row").cast("long"), v.alias("v"))
+    source = source.withColumn("bx", blocks("col", meta.n_cols)).withColumn("by", blocks("row", meta.n_rows)).select("band", "bx", "by", "col", "row", "v")
+    n = meta.n_bands * (1 + meta.n_cols // BLOCK) * (1 + meta.n_rows // BLOCK)
+    dealt = source.repartition(min(n, max(512, n // 64)), "band", "bx", "by").sortWithinPartitions("band", "bx", "by")
+    types = {f.name: f.dataType.simpleString() for f in source.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for (band, bx, by), t in _blocks(batches):
+                t = t.combine_chunks()
+                col, row = (t.column(i).to_numpy() for i in (3, 4))
+                values = t.column(5).chunk(0)
+                for zoom, gx, gy, v in _sample(meta, grid, levels, method, int(bx), int(by), col, row, values):
+                    if len(gx):
+                        bands = pa.array([band]).cast(t.column(0).type).take(pa.array(np.zeros(len(gx), np.int64)))
+                        yield pa.RecordBatch.from_arrays([bands, pa.array(np.full(len(gx), zoom, np.int32)), pa.array(gx), pa.array(gy), v], names=["band", "zoom", "gx", "gy", "v"])
+
+    out = dealt.mapInArrow(run, f"band {types['band']}, zoom int, gx long, gy long, v {types['v']}")
+    return out if only is None else only(out)
 
 
 def resample(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], method: str = "average", **options) -> DataFrame:
