@@ -43,24 +43,41 @@ def _zooms(grid, zooms, terrain) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(z).alias("zoom"), F.lit(pitch(grid, z, terrain)).alias("p")) for z in zooms)))
 
 
-def _spread(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], terrain: bool, value: str) -> DataFrame:
-    """A row for every pixel, zoom and overlapped cell: band, zoom, gx, gy, v."""
+def _spread(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], terrain: bool, value: str, block: int | None = None) -> DataFrame:
+    """A row for every pixel, zoom and overlapped cell: band, zoom, gx, gy, v.
+
+    With ``block``, a zoom no finer than any of ``zooms``, pixels are dealt by its cells first, and
+    (bx, by) say which: cells nest, so all rows of a cell are in one partition.
+    """
     x = lambda c: F.lit(meta.x0) + c * F.lit(meta.dx)
     y = lambda r: F.lit(meta.y0) - r * F.lit(meta.dy)
     west, south = reproject(meta.epsg, grid.epsg, x(F.col("col")), y(F.col("row") + 1))
     east, north = reproject(meta.epsg, grid.epsg, x(F.col("col") + 1), y(F.col("row")))
     band = F.col("band") if "band" in pixels.columns else F.lit(1)
-    own = pixels.filter(F.col(value).isNotNull()).select(band.alias("band"), F.col(value).alias("v"), west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"), _zooms(grid, zooms, terrain).alias("z"))
+    own = pixels.filter(F.col(value).isNotNull()).select(band.alias("band"), F.col(value).alias("v"), west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"), F.lit(0).alias("bx"), F.lit(0).alias("by"))
     if meta.requires_reprojection(grid):
         own = own.filter(F.col("s").isNotNull() & F.col("n").isNotNull())  # pixels at or beyond a pole have no place on the plane
     slack = SLIVER if meta.requires_reprojection(grid) else 0.0  # edges that fall on cell borders only up to rounding
 
-    def cell(lo, hi, half):
-        first, last = F.floor((lo + half) / F.col("z.p") + slack).cast("long"), (F.ceil((hi + half) / F.col("z.p") - slack) - 1).cast("long")
+    if block is not None:
+        size = pitch(grid, block, terrain)
+
+        def blocks(lo, hi, half):  # every block that a cell of the pixel at any zoom lies in
+            first, last = (F.floor((lo + half) / size + s).cast("long") for s in (0.0, slack))
+            return F.explode(F.sequence(first, F.greatest(first, last, (F.ceil((hi + half) / size) - 1).cast("long"))))
+
+        own = own.withColumn("bx", blocks(F.col("w"), F.col("e"), grid.half_x)).withColumn("by", blocks(F.col("s"), F.col("n"), grid.half_y))
+        own = own.repartition(min(10_000, 1 + meta.n_cols * meta.n_rows * meta.n_bands // 100_000), "bx", "by")
+    own = own.withColumn("z", _zooms(grid, zooms, terrain))
+    inside = lambda rows, g, b: rows if block is None else rows.filter(F.floor(F.col(g) / F.pow(F.lit(2.0), F.col("zoom") - block)).cast("long") == F.col(b))
+
+    def cell(lo, hi, half, p="z.p"):
+        first, last = F.floor((lo + half) / F.col(p) + slack).cast("long"), (F.ceil((hi + half) / F.col(p) - slack) - 1).cast("long")
         return F.sequence(first, F.greatest(first, last) if slack else last)
 
-    gx = own.select("band", "v", "z", "s", "n", F.explode(cell(F.col("w"), F.col("e"), F.lit(grid.half_x))).alias("gx"))
-    return gx.select("band", "v", F.col("z.zoom").alias("zoom"), "gx", F.explode(cell(F.col("s"), F.col("n"), F.lit(grid.half_y))).alias("gy"))
+    keep = [] if block is None else ["bx", "by"]
+    gx = inside(own.select("band", "v", "s", "n", *keep, F.col("z.zoom").alias("zoom"), F.col("z.p").alias("p"), F.explode(cell(F.col("w"), F.col("e"), F.lit(grid.half_x))).alias("gx")), "gx", "bx")
+    return inside(gx.select("band", "v", "zoom", "gx", *keep, F.explode(cell(F.col("s"), F.col("n"), F.lit(grid.half_y), "p")).alias("gy")), "gy", "by")
 
 
 def _ranked(spread: DataFrame, method: str) -> DataFrame:
@@ -77,6 +94,29 @@ def _ranked(spread: DataFrame, method: str) -> DataFrame:
     return enough.groupBy(*cell).agg(F.first("n").alias("n"), F.min("v").alias("v"))
 
 
+#: Pixels that a block of cells may overlap in the ranking of values.
+BLOCK_PIXELS = 1 << 14
+
+
+def _block_zoom(meta: RasterMeta, grid: Grid, terrain: bool) -> int:
+    """The coarsest zoom, maybe below 0, whose cells overlap at most ``BLOCK_PIXELS`` pixels."""
+    side = meta.resolution_on(grid) * math.sqrt(meta.dy / meta.dx)
+    return math.ceil(math.log2(pitch(grid, 0, terrain) / side / math.sqrt(BLOCK_PIXELS)))
+
+
+def _ranked_in_blocks(spread: DataFrame, method: str) -> DataFrame:
+    """Mode and quartiles of cells whose rows (with ``bx``, ``by``) lie in one partition: no cell is shuffled."""
+    cell = ["gy", "gx", "zoom", "band", "by", "bx"]  # sorted by what differs most
+    if method == "mode":
+        counted = spread.groupBy(*cell, "v").agg(F.count(F.lit(1)).alias("c"))
+        return counted.groupBy(*cell).agg(F.sum("c").alias("n"), F.max_by("v", F.struct("c", -F.col("v"))).alias("v")).drop("bx", "by")
+    quarters = {"q1": 1, "med": 2, "q3": 3}[method]
+    ranks = Window.partitionBy(*cell).orderBy("v")
+    n = F.count(F.lit(1)).over(ranks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = spread.select(*cell, "v", F.row_number().over(ranks).cast("long").alias("k"), n.alias("n"))
+    return ranked.filter(F.col("k") == F.floor((quarters * F.col("n") + 3) / 4)).select("band", "zoom", "gx", "gy", "n", "v")
+
+
 def area(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], method: str = "average", terrain: bool = True, value: str = "value", only=None, pyramid: bool = False) -> DataFrame:
     """Cells (band, zoom, gx, gy, n, v) by an aggregate of the pixels that overlap each; nulls don't count.
 
@@ -104,7 +144,16 @@ def area(pixels: DataFrame, meta: RasterMeta, grid: Grid, zooms: list[int], meth
         return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).select("band", "zoom", "gx", "gy", "n", (F.col("s") / F.col("n")).alias("v"))
     if method in ("max", "min"):
         return grouped.agg(F.count(F.lit(1)).alias("n"), getattr(F, method)("v").alias("v"))
-    return _ranked(spread, method)
+    block = _block_zoom(meta, grid, terrain)
+    near, far = [z for z in zooms if z >= block], [z for z in zooms if z < block]
+    parts = []
+    if near:
+        own = _spread(pixels, meta, grid, near, terrain, value, block)
+        parts.append(_ranked_in_blocks(own if only is None else only(own), method))
+    if far:  # cells of more pixels than a block
+        own = _spread(pixels, meta, grid, far, terrain, value)
+        parts.append(_ranked(own if only is None else only(own), method))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def rollup(cells: DataFrame) -> DataFrame:
